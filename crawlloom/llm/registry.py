@@ -7,14 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlloom.llm import langid, packing
+from crawlloom.llm import html, langid, lines, packing, simhash, urlfilter
 from crawlloom.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the doc_id of its article; bad are toxic and poor ones."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    article = F.regexp_extract(urlfilter.host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:[./]|$)", 1)
+    key = F.when(article != "", article.cast("long"))
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, label_key=key).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
     prototypes = langid.profiles(docs.where(~F.col("held_out")))
@@ -22,8 +42,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_simhash_near_dedup, op6_best_fit_packing, op7_url_filters, op9_html_extraction, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": lines.oracle_sql()}

@@ -49,7 +49,7 @@ def test_pack(spark):
         part = got[got.doc_id == doc].sort_values("piece")
         assert part.length.sum() == len(ids)
         for _, r in part.iterrows():
-            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[int(r.start) : int(r.start + r.length)], "<u4").tobytes())
     for _, part in got.groupby("sequence_id"):
         at = 0
         for _, r in part.sort_values("offset").iterrows():
