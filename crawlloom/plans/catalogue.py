@@ -1,9 +1,254 @@
-"""Registered queries and the SQL each is checked against."""
+"""Registered queries, each over its whole table, and the SQL each is checked against."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from crawlloom.functions import classify, urls
+from crawlloom.operators import crawl, diff, duplicates, links, validation
+from crawlloom.plans import fixtures as fx
+from crawlloom.sources import export, sitemaps
+
+#: A page of the tables that stands for a crawl's base, and prefixes to leave out.
+BASE = "https://thther.example.org/en/685"
+EXCLUDES = ["/en", "/fr/"]
+ROBOTS = [
+    ("https://a.test", 200, "User-agent: *\nDisallow: /x\nSITEMAP:  https://a.test/one.xml \r\n# Sitemap: https://a.test/no.xml\nsitemap:https://a.test/two.xml # kept"),
+    ("https://b.test", 200, "User-agent: *\nDisallow:\nSitemap:   \n"),
+    ("https://c.test:8080", 404, "Sitemap: https://c.test/never.xml"),
+    ("https://d.test", 500, "Sitemap: https://d.test/never.xml"),
+    ("https://e.test", 200, ""),
+]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or crawl.LOCAL_SCRATCH
+    return f"{root.rstrip('/')}/files-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def extract_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.extract_links(fx.pages(spark, d))
+
+
+def link_out_degree(spark: SparkSession, d: str) -> DataFrame:
+    return links.out_degrees(fx.pages(spark, d))
+
+
+def url_split(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return fx.pages(spark, d).select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.fragment(u).alias("fragment"))
+
+
+def url_canonicalize(spark: SparkSession, d: str) -> DataFrame:
+    return fx.pages(spark, d).select("page_id", urls.canonicalize(F.col("url")).alias("canonical_url"))
+
+
+def url_dup_key(spark: SparkSession, d: str) -> DataFrame:
+    return fx.dup(spark, d).select("pos", urls.key_of(F.col("url")).alias("dup_key"))
+
+
+def url_base_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return fx.pages(spark, d).select("page_id", F.array_join(urls.base_candidates(F.col("url")), " ").alias("candidates"))
+
+
+def url_parent_path(spark: SparkSession, d: str) -> DataFrame:
+    return fx.pages(spark, d).select("page_id", urls.parent_path(F.col("url")).alias("parent_path"))
+
+
+def robots_url(spark: SparkSession, d: str) -> DataFrame:
+    return fx.pages(spark, d).select(urls.sibling(F.col("url"), "/robots.txt").alias("robots_url")).distinct()
+
+
+def resource_type(spark: SparkSession, d: str) -> DataFrame:
+    return fx.curr(spark, d).select("pos", "resource_type")
+
+
+def is_html(spark: SparkSession, d: str) -> DataFrame:
+    return fx.curr(spark, d).select("pos", classify.is_html(F.col("content_type")).alias("is_html"))
+
+
+def status_text(spark: SparkSession, d: str) -> DataFrame:
+    return fx.curr(spark, d).select("pos", classify.status_text(F.col("status_code")).alias("status_text"))
+
+
+def exclude_paths(spark: SparkSession, d: str) -> DataFrame:
+    return fx.pages(spark, d).where(~urls.excluded(F.col("url"), EXCLUDES)).select("page_id", "url")
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    return diff.changes(fx.prev(spark, d), fx.curr(spark, d))
+
+
+def diff_added(spark: SparkSession, d: str) -> DataFrame:
+    return diff.of_type(_changes(spark, d), diff.ADDED).select("url")
+
+
+def diff_removed(spark: SparkSession, d: str) -> DataFrame:
+    return diff.of_type(_changes(spark, d), diff.REMOVED).select("url")
+
+
+def diff_status(spark: SparkSession, d: str) -> DataFrame:
+    return diff.of_type(_changes(spark, d), diff.STATUS)
+
+
+def diff_content_type(spark: SparkSession, d: str) -> DataFrame:
+    return diff.of_type(_changes(spark, d), diff.CONTENT_TYPE)
+
+
+def diff_report(spark: SparkSession, d: str) -> DataFrame:
+    return diff.ordered(_changes(spark, d))
+
+
+def diff_stats(spark: SparkSession, d: str) -> DataFrame:
+    return diff.statistics(fx.prev(spark, d), fx.curr(spark, d))
+
+
+def diff_by_site(spark: SparkSession, d: str) -> DataFrame:
+    """Many sites at once: changes counted by site and type."""
+    own = lambda df: df.withColumn("site", urls.site(F.col("url")))
+    rows = diff.changes(own(fx.prev(spark, d)), own(fx.curr(spark, d)), ("site",))
+    return rows.groupBy("site", "type").agg(F.count("*").alias("n"))
+
+
+def dedup_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.dup(spark, d).withColumn("status_code", (F.col("pos") % 5 + 200).cast("int"))
+    return diff.last_wins(rows).select("url", "page.status_code", "page.content_type")
+
+
+def dup_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = duplicates.groups(fx.dup(spark, d))
+    return g.select(F.col("key").alias("dup_key"), "canonical", "severity", "n_variants", F.array_join(F.transform("variants", lambda v: v["url"]), ", ").alias("variant_urls"))
+
+
+def dup_reason(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.groups(fx.dup(spark, d)).select(F.col("key").alias("dup_key"), "reason")
+
+
+def dup_summary(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.summary(duplicates.groups(fx.dup(spark, d)))
+
+
+def _shown(findings: DataFrame) -> DataFrame:
+    return findings.select("section", "url", "kind", "severity", "detail", F.array_join("parents", "|").alias("parents"))
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    """The current snapshot with URLs and types that no page should have."""
+    u = F.when(F.col("pos") % 31 == 0, "").when(F.col("pos") % 37 == 0, F.concat(F.lit("ftp://e.test/"), F.col("pos").cast("string"))).when(F.col("pos") % 41 == 0, F.concat(F.lit("not-a-url-"), F.col("pos").cast("string")))
+    u = u.when(F.col("pos") % 23 == 0, F.concat(F.col("url"), F.lit("{item}"))).otherwise(F.col("url"))
+    kind = F.when(F.col("pos") % 43 == 0, "bogus").otherwise(F.col("resource_type"))
+    return fx.curr(spark, d).withColumns({"url": u, "resource_type": kind, "parent_url": F.concat(F.lit("p"), F.col("pos").cast("string"))})
+
+
+def validate_structural(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(validation.structural(_odd(spark, d), BASE))
+
+
+def validate_sanity(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(validation.sanity(fx.curr(spark, d), BASE, fx.prev(spark, d).count() * 3))
+
+
+def validate_all(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(validation.ordered(validation.validate(fx.dup(spark, d), "https://e.test/p/1", 3)))
+
+
+def validate_strict(spark: SparkSession, d: str) -> DataFrame:
+    found = validation.validate(fx.dup(spark, d), "https://e.test/p/1", 3, strict=True)
+    return found.groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+def severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = validation.validate(_odd(spark, d), BASE, 3)
+    return found.groupBy(classify.severity_name(F.col("severity")).alias("severity"), "kind").agg(F.count("*").alias("n"))
+
+
+def has_errors(spark: SparkSession, d: str) -> DataFrame:
+    bad = validation.has_errors(validation.validate(fx.curr(spark, d), BASE)).select(F.lit("curr").alias("snapshot"), "has_errors")
+    good = validation.has_errors(validation.validate(fx.prev(spark, d), BASE)).select(F.lit("prev").alias("snapshot"), "has_errors")
+    return bad.unionByName(good)
+
+
+def crawl_reach(spark: SparkSession, d: str) -> DataFrame:
+    start = spark.range(1).select(F.lit(0).cast("long").alias("node"))
+    return crawl.reach(fx.graph(spark, d), start).select("node", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+def crawl_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl over stored bodies made from the graph: page n of one site links to its edges' ends."""
+    at = lambda c: F.concat(F.lit("https://e.test/n/"), F.col(c).cast("string"))
+    edges = fx.graph(spark, d).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ends"))
+    body = F.concat(F.lit("<html><a href='/n/0#x'>home</a>"), F.array_join(F.transform("ends", lambda e: F.concat(F.lit('<a class=x href="/n/'), e.cast("string"), F.lit('">n</a>'))), ""), F.lit("<a href='https://other.test/'>off</a><a href='mailto:x@y'>m</a></html>"))
+    stored = crawl.kept(edges.select(at("src").alias("url"), body.alias("body")), "stored")
+    return crawl.crawl(spark, "https://e.test/n/0", crawl.replay(stored)).select("url", "parent_url", "status_code", "content_type", "resource_type")
+
+
+def _sitemap(spark: SparkSession, d: str, name: str, ns: str = "") -> DataFrame:
+    """Documents (url, body): one urlset for every 25 pages."""
+    loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    part = F.floor(F.col("page_id") / 25)
+    body = F.concat(F.lit(f'<?xml version="1.0"?><urlset{ns}>'), F.array_join(F.sort_array(F.collect_list(loc)), "\n"), F.lit("<url><loc></loc></url></urlset>"))
+    return fx.pages(spark, d).groupBy(F.concat(F.lit(f"https://s.test/{name}-"), part.cast("string"), F.lit(".xml")).alias("url")).agg(body.alias("body"))
+
+
+def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    docs = _sitemap(spark, d, "map", ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"')
+    entries = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>")))), "")
+    index = docs.agg(F.concat(F.lit("<sitemapindex>"), entries, F.lit("<sitemap><loc>https://s.test/index.xml</loc></sitemap><sitemap><loc>https://s.test/gone.xml</loc></sitemap></sitemapindex>")).alias("body"))
+    stored = crawl.kept(docs.unionByName(index.select(F.lit("https://s.test/index.xml").alias("url"), "body")), "sitemap-store")
+
+    def fetch(frontier: DataFrame) -> DataFrame:
+        return frontier.join(stored, "url", "left").select("url", F.when(F.col("body").isNull(), 404).otherwise(200).alias("status_code"), F.coalesce("body", F.lit("")).alias("body"))
+
+    start = spark.range(1).select(F.lit("https://s.test/index.xml").alias("url"))
+    return sitemaps.sitemap_urls(start, fetch)
+
+
+def robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    return sitemaps.robots_sitemaps(spark.createDataFrame(ROBOTS, "base_url string, status_code int, body string"))
+
+
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Stored as JSON rows and read again with the fixed schema."""
+    path = scratch(spark, "snapshot")
+    fx.curr(spark, d).write.json(path)
+    rows = spark.read.schema("pos BIGINT, url STRING, parent_url STRING, status_code INT, content_type STRING, resource_type STRING").option("mode", "FAILFAST").json(path)
+    return rows.orderBy("url", "parent_url")
+
+
+def csv_export(spark: SparkSession, d: str) -> DataFrame:
+    """The CSV rows of a snapshot, written and read again."""
+    path = scratch(spark, "csv")
+    rows = fx.curr(spark, d)
+    named = export.named(rows.select("url", classify.status_text(F.col("status_code")).alias("status_code"), "content_type"), "url", "status_code", "content_type")
+    named.write.options(**export.OPTIONS).csv(path)
+    back = spark.read.schema("URL STRING, `Status Code` STRING, `Content Type` STRING").options(header="true", escape='"').csv(path)
+    return back.select(F.col("URL").alias("url"), F.col("Status Code").alias("status_text"), F.coalesce("Content Type", F.lit("")).alias("content_type"))
+
+
+def report_csv(spark: SparkSession, d: str) -> DataFrame:
+    """All changes as rows of one CSV file, written and read again."""
+    path = scratch(spark, "report")
+    export.named(_changes(spark, d), "type", "url", "previous", "current").write.options(**export.OPTIONS).csv(path)
+    back = spark.read.schema("Type STRING, URL STRING, Previous STRING, Current STRING").options(header="true", escape='"').csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c.lower()) for c in back.columns])
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    extract_links, link_out_degree, url_split, url_canonicalize, url_dup_key, url_base_candidates, url_parent_path, robots_url, resource_type, is_html, status_text, exclude_paths,
+    diff_added, diff_removed, diff_status, diff_content_type, diff_report, diff_stats, diff_by_site, dedup_last_wins, dup_groups, dup_reason, dup_summary,
+    validate_structural, validate_sanity, validate_all, validate_strict, severity_counts, has_errors, crawl_reach, crawl_replay, sitemap_urls, robots_sitemaps, snapshot_roundtrip, csv_export, report_csv,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    from crawlloom.plans.oracles import SQL
+
+    return dict(SQL)
