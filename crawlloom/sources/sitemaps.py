@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def root_name(body: Column) -> Column:
 
 def gunzip(df: DataFrame, body: str = "body", column: str = "content") -> DataFrame:
     """df with the text of a binary column, decompressed where it is gzip."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else (gzip.decompress(b) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
