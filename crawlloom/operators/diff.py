@@ -56,8 +56,8 @@ def of_type(rows: DataFrame, kind: str) -> DataFrame:
 def statistics(previous: DataFrame, current: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row of six counts; the totals are of rows, repeated URLs included."""
     rows = changes(previous, current) if rows is None else rows
-    names = ("added", "removed", "status_changes", "content_type_changes")
-    counts = rows.agg(*[F.count_if(F.col("type") == t).alias(n) for t, n in zip(TYPES, names, strict=True)])
-    total = previous.agg(F.count("*").alias("total_previous")).crossJoin(current.agg(F.count("*").alias("total_current")))
-    # three single rows side by side
-    return total.crossJoin(counts)
+    names = dict(zip(TYPES, ("added", "removed", "status_changes", "content_type_changes"), strict=True))
+    counted = previous.select(F.lit("total_previous").alias("what")).unionByName(current.select(F.lit("total_current").alias("what")))
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("type")]
+    counted = counted.unionByName(rows.select(named.alias("what")))
+    return counted.agg(*[F.count_if(F.col("what") == n).alias(n) for n in ("total_previous", "total_current", *names.values())])

@@ -69,3 +69,8 @@ def groups(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def summary(found: DataFrame) -> DataFrame:
     """Groups and URLs by severity, errors first."""
     return found.groupBy("severity").agg(F.count("*").alias("n_groups"), F.sum("n_variants").alias("n_urls"))
+
+
+def of_severity(found: DataFrame, severity: int) -> DataFrame:
+    """The groups of one severity, by canonical URL."""
+    return found.where(F.col("severity") == severity).orderBy("canonical")

@@ -57,28 +57,48 @@ def duplicate_findings(groups: DataFrame) -> DataFrame:
     )
 
 
-def sanity(pages: DataFrame, base_url: str, previous_count: int = 0) -> DataFrame:
-    """Whether the crawl as a whole is plausible, from one aggregation to a single row."""
-    rows = as_pages(pages)
-    is_base = F.array_contains(urls.base_candidates(F.lit(base_url)), F.col("url"))
-    totals = rows.agg(
-        F.count("*").alias("n"),
-        F.count_if((F.col("status_code") == 0) | (F.col("status_code") >= 400)).alias("unreachable"),
-        F.min_by(F.struct("url", "status_code"), F.when(is_base, F.col("pos"))).alias("base"),
-    )
-    n, bad, base, own = F.col("n"), F.col("unreachable"), F.col("base"), F.lit(base_url)
+def _implausible(base_url: Column, previous_count: Column) -> list[Column]:
+    """The rules over a snapshot's totals, in report order."""
+    n, bad, base = F.col("n"), F.col("unreachable"), F.col("base")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    found = [
+    drop = text("current crawl contains significantly fewer pages than the previous snapshot (previous: ", previous_count, ", current: ", n, "); possible incomplete crawl")
+    return [
         F.when(base["status_code"] != 200, _finding("base_url_status", WARNING, text("base URL returned HTTP ", base["status_code"], " (expected 200)"), base["url"], rank=0)),
-        F.when(base.isNull(), _finding("base_url_missing", WARNING, "base URL was not found among the crawled pages", own, rank=1)),
-        F.when(n < FEW_PAGES, _finding("low_page_count", WARNING, text("crawl produced only ", n, " pages; possible incomplete crawl"), own, rank=2)),
-        F.when((n > 0) & (bad > MUCH_UNREACHABLE * n), _finding("excessive_unreachable", WARNING, text(bad, " of ", n, " pages were unreachable (status 0 or >=400)"), own, rank=3)),
-        F.when(
-            F.lit(previous_count > 0) & (n < DROP * previous_count),
-            _finding("page_count_drop", WARNING, text("current crawl contains significantly fewer pages than the previous snapshot (previous: ", str(previous_count), ", current: ", n, "); possible incomplete crawl"), own, rank=4),
-        ),
+        F.when(base.isNull(), _finding("base_url_missing", WARNING, "base URL was not found among the crawled pages", base_url, rank=1)),
+        F.when(n < FEW_PAGES, _finding("low_page_count", WARNING, text("crawl produced only ", n, " pages; possible incomplete crawl"), base_url, rank=2)),
+        F.when((n > 0) & (bad > MUCH_UNREACHABLE * n), _finding("excessive_unreachable", WARNING, text(bad, " of ", n, " pages were unreachable (status 0 or >=400)"), base_url, rank=3)),
+        F.when((previous_count > 0) & (n < DROP * previous_count), _finding("page_count_drop", WARNING, drop, base_url, rank=4)),
+    ]
+
+
+def _totals(base_url: Column) -> list[Column]:
+    is_base = F.array_contains(urls.base_candidates(base_url), F.col("url"))
+    return [
+        F.count("url").alias("n"),
+        F.count_if((F.col("status_code") == 0) | (F.col("status_code") >= 400)).alias("unreachable"),
+        F.min_by(F.struct("url", "status_code"), F.when(is_base, F.col("pos"))).alias("base"),
     ]
-    return _rows(totals, found, SANITY)
+
+
+def sanity(pages: DataFrame, base_url: str, previous_count: int = 0) -> DataFrame:
+    """Whether the crawl as a whole is plausible, from one aggregation to a single row."""
+    totals = as_pages(pages).agg(*_totals(F.lit(base_url)))
+    return _rows(totals, _implausible(F.lit(base_url), F.lit(previous_count)), SANITY)
+
+
+def sanity_by_site(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """The same for many sites at once: pages have a site, sites are (site, base_url, previous_count); a site without pages is judged too.
+
+    Pages are summed up by site before they meet the sites, so a large site moves a row for each task.
+    """
+    named = sites.select("site", "base_url", F.coalesce("previous_count", F.lit(0)).alias("previous_count"))
+    rows = as_pages(pages, ("site",))
+    counts = rows.groupBy("site").agg(F.count("*").alias("n"), F.count_if((F.col("status_code") == 0) | (F.col("status_code") >= 400)).alias("unreachable"))
+    wanted = named.select("site", F.explode(urls.base_candidates(F.col("base_url"))).alias("url"))
+    base = rows.join(wanted, ["site", "url"], "left_semi").groupBy("site").agg(F.min_by(F.struct("url", "status_code"), "pos").alias("base"))
+    totals = named.join(counts, "site", "left").join(base, "site", "left").fillna(0, ["n", "unreachable"])
+    found = F.explode(F.array_compact(F.array(*_implausible(F.col("base_url"), F.col("previous_count")))))
+    return totals.select("site", found.alias("f")).select("site", F.lit(SANITY).alias("section"), "f.*")
 
 
 def validate(pages: DataFrame, base_url: str, previous_count: int = 0, strict: bool = False, groups: DataFrame | None = None) -> DataFrame:

@@ -25,8 +25,8 @@ DUP = """SELECT page_id AS pos,
     || CASE WHEN page_id % 6 = 1 THEN '#top' ELSE '' END AS url,
   '' AS parent_url, 200 AS status_code, 'text/html' AS content_type
   FROM pages"""
-GRAPH = """SELECT page_id AS src, (page_id * 3 + 1) % n.n AS dst FROM pages, (SELECT count(*) AS n FROM pages) n WHERE page_id % 4 <> 3
-  UNION SELECT page_id AS src, (page_id * page_id + 2) % n.n AS dst FROM pages, (SELECT count(*) AS n FROM pages) n WHERE page_id % 5 <> 4"""
+GRAPH = """SELECT page_id AS src, (page_id * 3 + 1) % (SELECT count(*) FROM pages) AS dst FROM pages WHERE page_id % 4 <> 3
+  UNION SELECT page_id AS src, (page_id * page_id + 2) % (SELECT count(*) FROM pages) AS dst FROM pages WHERE page_id % 5 <> 4"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,13 +68,13 @@ def finding_lines(findings: DataFrame) -> Iterator[str]:
 
 def duplicate_lines(groups: DataFrame) -> Iterator[str]:
     sums = {r["severity"]: (r["n_groups"], r["n_urls"]) for r in duplicates.summary(groups).collect()}
-    shown = groups.withColumn("variants", F.transform("variants", lambda v: v.withField("parent", urls.parent_path(v["parent_url"])))).orderBy("canonical")
+    shown = groups.withColumn("variants", F.transform("variants", lambda v: v.withField("parent", urls.parent_path(v["parent_url"]))))
     yield from ("Duplicate URL Report", "")
     for severity, word in ((ERROR, "error"), (WARNING, "warning")):
         yield f"{word.capitalize()}s ({sums.get(severity, (0, 0))[0]})"
         if severity not in sums:
             yield f"No {word}s found."
-        for g in shown.where(F.col("severity") == severity).toLocalIterator():
+        for g in duplicates.of_severity(shown, severity).toLocalIterator():
             yield from (f"[{word}] {g['canonical']}", "Canonical:", g["canonical"], "Reason:", g["reason"], "Variants:")
             for v in g["variants"]:
                 yield f"  • {v['url']}"

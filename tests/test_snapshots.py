@@ -124,6 +124,19 @@ def test_sanity(spark):
     assert [(r["kind"], r["detail"]) for r in wrong] == [("base_url_status", "base URL returned HTTP 500 (expected 200)")]
 
 
+def test_sanity_by_site(spark):
+    own = pages(spark, ("https://a.com/", 500), ("https://a.com/x", 404), ("https://b.com", 200), ("https://b.com/1",), ("https://b.com/2",))
+    own = own.withColumn("site", F.regexp_extract("url", "//([^/]*)", 1))
+    sites = spark.createDataFrame([("a.com", "https://a.com", None), ("b.com", "https://b.com/", 7), ("c.com", "https://c.com", 0)], "site string, base_url string, previous_count long")
+    got: dict = {}
+    for r in validation.sanity_by_site(own, sites).orderBy("site", "rank").collect():
+        got.setdefault(r["site"], []).append(r["kind"])
+    assert got == {"a.com": ["base_url_status", "low_page_count", "excessive_unreachable"], "b.com": ["page_count_drop"], "c.com": ["base_url_missing", "low_page_count"]}
+    for site, base, before in (("a.com", "https://a.com", 0), ("b.com", "https://b.com/", 7)):
+        alone = validation.sanity(own.where(F.col("site") == site).drop("site"), base, before)
+        assert [r["kind"] for r in alone.orderBy("rank").collect()] == got[site]
+
+
 def test_order_and_strict(spark):
     df = pages(spark, ("https://e.com/b{", 200), ("https://e.com/a", 0), ("https://e.com/a", 0), ("https://e.com/a", 200, ""), ("https://e.com/a/", 200))
     found = validation.validate(df, "https://e.com")
