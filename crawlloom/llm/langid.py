@@ -79,18 +79,34 @@ def gram_codes(text: str) -> Iterator[np.ndarray]:
         last = s[-(N - 1) :]
 
 
+def _chosen(codes: np.ndarray) -> np.ndarray:
+    """Without n-grams that have no letter before their last place."""
+    return codes[(codes % SYMBOLS ** (N - 1) != 0) | (codes >= SYMBOLS ** (N - 1))]
+
+
 def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that occur in these texts, and how often each text has each."""
-    codes = [np.concatenate(c) if (c := list(gram_codes(t or ""))) else np.zeros(0, np.int64) for t in texts]
-    codes = [c[(c % SYMBOLS ** (N - 1) != 0) | (c >= SYMBOLS ** (N - 1))] for c in codes]
+    """The n-grams that occur in these texts, and how often each text has each.
+
+    Codes of texts up to a chunk are kept from the first pass to the second, those of longer ones are made again.
+    """
     seen = np.zeros(SYMBOLS**N, bool)
-    for c in codes:
-        seen[c] = True
+    held: list[list[np.ndarray] | None] = []
+    for t in texts:
+        short = len(t or "") <= CHUNK
+        held.append([] if short else None)
+        for c in gram_codes(t or ""):
+            c = _chosen(c)
+            seen[c] = True
+            if short:
+                held[-1].append(c)
     grams = np.flatnonzero(seen)
     column = np.zeros(SYMBOLS**N, np.int32)
     column[grams] = np.arange(len(grams), dtype=np.int32)
-    counts = np.stack([np.bincount(column[c], minlength=max(1, len(grams))) for c in codes])
-    return grams, counts[:, : len(grams)]
+    counts = np.zeros((len(texts), len(grams)), np.int64)
+    for i, (t, kept) in enumerate(zip(texts, held, strict=True)):
+        for c in map(_chosen, gram_codes(t)) if kept is None else kept:
+            counts[i] += np.bincount(column[c], minlength=len(grams))[: len(grams)]
+    return grams, counts
 
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:

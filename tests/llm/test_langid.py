@@ -34,8 +34,11 @@ def test_against_brute_force():
 def test_chunks_do_not_change_the_counts(monkeypatch):
     text = "Ab, cd  été 12 xyz " * 50
     whole = np.sort(np.concatenate(list(langid.gram_codes(text))))
+    grams, counts = langid.counted([text, None, "ab", text])
     monkeypatch.setattr(langid, "CHUNK", 7)
     assert (np.sort(np.concatenate(list(langid.gram_codes(text)))) == whole).all()
+    again, same = langid.counted([text, None, "ab", text])
+    assert (again == grams).all() and (same == counts).all()
 
 
 def test_frames(spark):
