@@ -32,7 +32,7 @@ SHALLOW = 16
 #: Bytes of a text whose hashes are computed at once.
 CHUNK = 1 << 18
 #: Anchors of a group that are sorted in one task; the strings of larger groups are counted one by one.
-GROUP = 20_000
+GROUP = 100_000
 #: Anchors that are sorted together, whole groups.
 ROWS = 20_000
 LAST = (1 << 63) - 1
@@ -230,64 +230,107 @@ def _signed(x: int) -> int:
 
 
 def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
-    """(part, mark, pos, key, at, state): all anchors. Of a mark that a batch holds several times one row
-    (state 1) stands for it where marks are counted, the others (state 2) are known to recur and go anywhere."""
-    names = ["part", "mark", "pos", "key", "at", "state"]
+    """(part, mark, around, before, after, pos, key, at, state): all anchors.
+
+    around is the digest of everything within reach of the anchor, before and after bytes long. Of anchors that a batch holds several
+    times with equal surroundings one row (state 1) stands for them where they are counted; the others (state 2) are known to
+    recur with all of their surroundings and go anywhere, so a frequent passage is few rows in one place.
+    """
+    reach = length - k
+    names = ["part", "mark", "around", "before", "after", "pos", "key", "at", "state"]
+    parts = shuffle_partitions(df.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                rows, places, marks = [], [], []
+                rows, places, sizes, marks, digests = [], [], [], [], []
                 for i, t in enumerate(b.column(2)):
-                    if t.is_valid:
-                        data = t.as_buffer().to_pybytes()
-                        found = anchors(data, length, k)
-                        rows.append(np.full(len(found), i))
-                        places.append(found)
-                        marks += [xxhash.xxh3_64_intdigest(data[p : p + k]) for p in found.tolist()]
+                    data = t.as_buffer().to_pybytes()
+                    found = anchors(data, length, k)
+                    rows.append(np.full(len(found), i))
+                    places.append(found)
+                    sizes.append(np.full(len(found), len(data)))
+                    for p in found.tolist():
+                        marks.append(xxhash.xxh3_64_intdigest(data[p : p + k]))
+                        digests.append(xxhash.xxh3_64_intdigest(data[max(0, p - reach) : p + length], min(p, reach)))
                 if not marks:
                     continue
-                row, at, mark = np.concatenate(rows), np.concatenate(places), np.array(marks, np.uint64).view(np.int64)
-                _, first, inverse, count = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
-                state = np.where(count[inverse] > 1, 2, 0)
-                state[first[count > 1]] = 1
-                pos, key = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([_int64(np.where(state == 2, key + at, mark)), _int64(mark), _int64(pos), _int64(key), _int64(at), pa.array(state.astype(np.int8))], names)
-
-    return df.mapInArrow(batches, "part long, mark long, pos long, key long, at long, state byte")
+                row, at, size = np.concatenate(rows), np.concatenate(places), np.concatenate(sizes)
+                mark, around = np.array(marks, np.uint64), np.array(digests, np.uint64)
+                order = np.lexsort((around, mark))
+                new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (around[order][1:] != around[order][:-1])])
+                first = np.flatnonzero(new)
+                count = np.diff(np.concatenate([first, [len(order)]]))
+                state = np.zeros(len(order), np.int8)
+                state[order] = np.where(np.repeat(count, count) > 1, 2, 0)
+                state[order[first[count > 1]]] = 1
+                spread = np.where(state == 2, at.astype(np.uint64) * np.uint64(2654435761) + around, mark) % np.uint64(parts)
+                own = [_int64(b.column(c).to_numpy()[row]) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(spread.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(around.view(np.int64)),
+                        pa.array(np.minimum(at, reach).astype(np.int32)), pa.array(np.minimum(size - at, length).astype(np.int32)), *own, pa.array(at.astype(np.int32)), pa.array(state),
+                    ],
+                    names,
+                )
+
+    return df.mapInArrow(batches, "part int, mark long, around long, before int, after int, pos long, key long, at int, state byte")
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """(mark, pos, key, at) of the anchors whose mark occurs again; rows come sorted by mark and pass in a stream."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+    """(mark, pos, key, at, start, stop) of the anchors that can recur; rows come sorted and pass in a stream.
 
-        def pick(t: pa.Table) -> pa.Table:
-            mark, state = t.column("mark").to_numpy(), t.column("state").to_numpy()
-            counted = state < 2
-            starts = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
-            many = np.add.reduceat(counted.astype(np.int64), starts) + np.add.reduceat((state == 1).astype(np.int64), starts) > 1
-            again = np.repeat(many, np.diff(np.concatenate([starts, [len(mark)]])))
-            return t.filter(pa.array(~counted | again)).select(["mark", "pos", "key", "at"])
+    Where all surroundings recur the anchor is done: start and stop say what that covers. start is -1 for the anchors whose
+    strings are still to be compared: those with surroundings of their own, and one for each
+    of the recurring surroundings beside them.
+    """
+    names = ["mark", "pos", "key", "at", "start", "stop"]
+
+    def pick(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = lambda n: t.column(n).to_numpy()
+        mark, around, state = column("mark"), column("around"), column("state")
+        counted = state < 2
+        new_mark = np.concatenate([[True], mark[1:] != mark[:-1]])
+        new = new_mark | np.concatenate([[True], around[1:] != around[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.concatenate([first, [len(mark)]]))
+        # how often the surroundings occur; one with state 1 occurs twice at least
+        times = np.add.reduceat(counted * 1 + (state == 1) * 1, first)
+        again = np.repeat(times > 1, size) | ~counted
+        single = counted & ~again
+        heads = np.flatnonzero(new_mark)
+        mixed = np.repeat(np.add.reduceat(single * 1, heads) > 0, np.diff(np.concatenate([heads, [len(mark)]])))
+        # several surroundings of one mark, not all of them recurring
+        chosen = np.zeros(len(mark), bool)
+        seen = np.flatnonzero(counted)
+        chosen[seen[np.unique(np.cumsum(new)[seen], return_index=True)[1]]] = True
+        kinds = np.add.reduceat(chosen * 1, heads)
+        several = np.repeat(kinds > 1, np.diff(np.concatenate([heads, [len(mark)]])))
+        compare = chosen & mixed & several
+        start, stop = column("at").astype(np.int64) - column("before"), column("at").astype(np.int64) + column("after")
+        for keep, a, z in ((again, start, stop), (compare, np.full(len(mark), -1), np.full(len(mark), -1))):
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([_int64(mark[at]), _int64(column("pos")[at]), _int64(column("key")[at]), _int64(column("at")[at]), _int64(a[at]), _int64(z[at])], names)
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for b in it:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            mark = t.column("mark").to_numpy()
+            held.append(pa.Table.from_batches([b]))
+            # rows of one mark stay together
+            mark = b.column("mark").to_numpy()
             cut = int(np.searchsorted(mark, mark[-1]))
             if cut:
-                yield from pick(t.slice(0, cut)).combine_chunks().to_batches()
-            held = t.slice(cut)
-        if held is not None:
-            yield from pick(held).combine_chunks().to_batches()
+                yield from pick(pa.concat_tables([*held[:-1], held[-1].slice(0, cut)]).combine_chunks())
+                held = [held[-1].slice(cut)]
+        if held:
+            yield from pick(pa.concat_tables(held).combine_chunks())
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "part").sortWithinPartitions("mark").mapInArrow(batches, "mark long, pos long, key long, at long")
+    return rows.repartition(n, "part").sortWithinPartitions("mark", "around").mapInArrow(batches, ", ".join(f"{c} long" for c in names))
 
 
 def contexts(df: DataFrame, length: int, k: int) -> DataFrame:
@@ -393,23 +436,24 @@ def dedup_strings(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str =
     Removed is each byte that a length-byte string covers which also starts anywhere else; strings don't
     cross texts, overlaps count, and strings are judged on the input. spans are the maximal removed runs.
     Null texts are empty. Repeated rows, ids and texts equal, are texts of their own and so remove each other, as any copies do; an empty
-    table gives an empty result.
+    table gives an empty result. The largest long stands for a null doc_id inside and can't be a doc_id.
     """
-    source = df.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")
-    )
-    again = recurring(occurrences(source.select("pos", "key", "data"), length, k))
-    marks = written(again, "marks")
-    by_doc = marks.groupBy("pos", "key").agg(F.collect_list(F.struct("at", "mark")).alias("marks"))
-    around = contexts(source.select("pos", "key", "data").join(by_doc, ["pos", "key"]), length, k)
-    large = marks.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("mark")
+    source = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    marks = written(recurring(occurrences(source, length, k)), "marks")
+    compared = marks.where("start < 0").select("mark", "pos", "key", "at")
+    large = compared.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("mark")
+    done = marks.where("start >= 0").select("pos", "key", "start", "stop")
+
+    def around(rows: DataFrame) -> DataFrame:
+        by_doc = rows.groupBy("pos", "key").agg(F.collect_set(F.struct("at", "mark")).alias("marks"))
+        return contexts(source.join(by_doc, ["pos", "key"]), length, k)
+
     if large.isEmpty():
-        covered = matched(around, length, k)
+        covered = matched(around(compared), length, k)
     else:
-        around = written(around, "contexts")
-        covered = matched(around.join(large, "mark", "left_anti"), length, k).unionByName(counted(around.join(large, "mark", "left_semi"), length, k))
-    cover = covered.groupBy("pos", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cover"))
-    joined = source.join(cover, ["pos", "key"], "left").select("doc_id", "key", "data", "cover")
+        covered = matched(around(compared.join(large, "mark", "left_anti")), length, k).unionByName(counted(around(compared.join(large, "mark", "left_semi")), length, k))
+    cover = done.unionByName(covered).groupBy("pos", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cover"))
+    joined = source.join(cover, ["pos", "key"], "left").select(F.when(F.col("pos") != LAST, F.col("pos")).alias("doc_id"), "key", "data", "cover")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "spans", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]

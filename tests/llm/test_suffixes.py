@@ -60,7 +60,7 @@ def test_equal_strings_have_equal_anchors(monkeypatch):
     assert set(suffixes.anchors(data, 40, 12).tolist()) == found
 
 
-@pytest.mark.parametrize("group, alphabet", [(20_000, "abcdefghijé"), (3, "abcdefghijé"), (20_000, "ab")])
+@pytest.mark.parametrize("group, alphabet", [(100_000, "abcdefghijé"), (3, "abcdefghijé"), (100_000, "ab")])
 def test_against_brute_force(spark, monkeypatch, group, alphabet):
     monkeypatch.setattr(suffixes, "GROUP", group)
     texts = corpus(random.Random(len(alphabet) + group), 120, alphabet)
