@@ -52,3 +52,11 @@ def test_edits(spark):
     assert syncmers.fingerprint_edits(df.limit(0)).count() == 0
     one = syncmers.fingerprint_edits(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "x" * 300_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_edits(df).collect()}
+    assert got[1]["near_next"] == 1.0 and len(got[1]["fingerprint"]) == 8 * syncmers.SKETCH and len(got[3]["fingerprint"]) == 8
