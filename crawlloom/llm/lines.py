@@ -117,28 +117,27 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id
     """
     added = ["n_lines", "n_removed", "n_runs"]
     df = df.drop(*added)
-    spans = repeated(df, min_words, doc_id, text).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    keyed = df.withColumns({"_pos": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_key": content_key(doc_id, text)})
-    joined = keyed.join(spans, ["_pos", "_key"], "left").select(*df.columns, "_spans")
-    at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in added]])
+    spans = repeated(df, min_words, doc_id, text)
+    rest = [c for c in df.columns if c != text]
+    # all other columns travel as one, so that their names can't meet those used here
+    keyed = df.select(F.struct(*rest).alias("rest"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"))
+    joined = keyed.join(spans, ["pos", "key"], "left").select("rest", "text", "spans")
+    schema = T.StructType([joined.schema["rest"], joined.schema["text"], *[T.StructField(n, T.LongType()) for n in added]])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out: list[tuple] = []
-            for t, s in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+            for t, s in zip(b.column(1), b.column(2), strict=True):
                 if (t := t.as_py()) is None:
                     out.append((None, 0, 0, 0))
                 elif s.is_valid:
                     out.append(kept(t, [(x["start"], x["stop"]) for x in s.as_py()]))
                 else:
                     out.append((t, t.count("\n") + 1, 0, 0))
-            columns = list(b.columns[:-1])
             texts, *counts = zip(*out, strict=True) if out else ([],) * 4
-            columns[at] = pa.array(texts, b.column(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.int64()) for c in counts]], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, b.column(1).type), *[pa.array(c, pa.int64()) for c in counts]], schema.names)
 
-    return joined.mapInArrow(batches, schema)
+    return joined.mapInArrow(batches, schema).select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns], *added)
 
 
 def oracle_sql(min_words: int = MIN_WORDS) -> str:

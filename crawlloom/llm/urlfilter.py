@@ -109,13 +109,14 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str
     pages with the added names are replaced, an empty table gives an empty result.
     """
     added = ["host", "path", "rule", "verdict"]
-    pages = pages.withColumn("_label", F.col("page_id") if label_key is None else label_key).drop(*added)
-    host, path = host_and_path(F.col(url))
-    parsed = pages.withColumns({"host": host, "path": path})
-    parsed = parsed.withColumns(dict(zip(("rule", "_action"), decided(rules, F.col("host"), F.col("path")), strict=True)))
-    parsed = parsed.withColumn("_segs", segments(F.col("path")))
+    own = [c for c in pages.columns if c not in added]
+    # the columns of pages travel as one, so that their names can't meet those used here
+    parsed = pages.select(F.struct(*own).alias("row"), F.col(url).alias("url"), (F.col("page_id") if label_key is None else label_key).alias("label_id"))
+    parsed = parsed.withColumns(dict(zip(("host", "path"), host_and_path(F.col("url")), strict=True)))
+    parsed = parsed.withColumns(dict(zip(("rule", "action"), decided(rules, F.col("host"), F.col("path")), strict=True)))
+    parsed = parsed.withColumn("segs", segments(F.col("path")))
     worst = labels.groupBy("label_id").agg(F.max("bad").cast("long").alias("bad"))
-    urls = parsed.select("host", F.col("_segs").alias("segs"), F.col("_label").alias("label_id")).join(worst, "label_id", "left").select("host", "segs", "bad")
-    blocked = judged(templates(urls)).where("blocked").select("host", F.col("segs").alias("_segs"), F.lit("block").alias("_method"))
-    out = parsed.join(blocked, ["host", "_segs"], "left").withColumn("verdict", F.coalesce("_action", "_method", F.lit("allow")))
-    return out.select(*[c for c in pages.columns if c != "_label"], *added)
+    urls = parsed.select("host", "segs", "label_id").join(worst, "label_id", "left").select("host", "segs", "bad")
+    blocked = judged(templates(urls)).where("blocked").select("host", "segs", F.lit("block").alias("method"))
+    out = parsed.join(blocked, ["host", "segs"], "left").withColumn("verdict", F.coalesce("action", "method", F.lit("allow")))
+    return out.select(*[F.col("row")[c].alias(c) for c in own], *added)

@@ -39,9 +39,10 @@ def test_against_brute_force(spark):
         rows.append((d, "\n".join(text)))
     rows += [(500, ""), (501, "\n\n"), (502, rows[3][1]), (502, rows[3][1]), (502, rows[4][1] + "\nz " * 12)]
     rng.shuffle(rows)
-    df = spark.createDataFrame([(d, t, "src") for d, t in rows], "doc_id long, text string, n_runs string")
+    df = spark.createDataFrame([(d, t, "src", d) for d, t in rows], "doc_id long, text string, n_runs string, pos long")
     for min_words in (1, 6, 10):
         got = lines.dedup_lines(df, min_words).toPandas()
+        assert (got.pos == got.doc_id).all()
         assert sorted(zip(got.doc_id, got.text, strict=True)) == sorted(zip([d for d, _ in rows], brute(rows, min_words), strict=True))
 
 

@@ -28,12 +28,13 @@ def brute(url):
 
 
 def test_rules(spark):
-    pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(URLS)] + [(3, URLS[3], "old")], "page_id long, url string, verdict string")
+    pages = spark.createDataFrame([(i, u, "old", i) for i, u in enumerate(URLS)] + [(3, URLS[3], "old", 3)], "page_id long, url string, verdict string, segs int")
     labels = spark.createDataFrame([(1, 0)], "label_id long, bad int")
     got = urlfilter.filter_urls(pages, labels).collect()
     assert len(got) == len(URLS) + 1
     for r in got:
         host, path, rule, action = brute(r["url"])
+        assert r["segs"] == r["page_id"]
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, action or "allow"), r["url"]
     assert urlfilter.filter_urls(pages.limit(0), labels.limit(0)).count() == 0
 
