@@ -7,8 +7,9 @@ again are followed: the suffixes that start at them, and the mirrored prefixes
 that end there, are sorted group by group. Sorting is deep-shallow: multikey quicksort to
 a shallow depth, then a blind trie for suffixes that agree that far. In the sorted order neighbours'
 common prefixes split the suffixes into classes of every depth, on both sides of the anchor, and a
-LENGTH-byte string recurs if some other anchor is in the same class on both sides. All comparisons are of
-bytes; hashes only choose what is compared.
+LENGTH-byte string recurs if some other anchor is in the same class on both sides. That compares bytes. Digests of
+128 bits recognise anchors whose strings all recur together, which is most of them and needs no sorting, and
+the strings of groups too large for one task.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ K = 48
 SHALLOW = 16
 #: Bytes of a text whose hashes are computed at once.
 CHUNK = 1 << 18
-#: Anchors of a group that are sorted in one task; the strings of larger groups are counted one by one.
-GROUP = 100_000
+#: Anchors of a group that are sorted in one task at most; the strings of larger groups are counted one by one. A group
+#: is also large if it has UNEVEN times a task's mean and EVEN anchors.
+GROUP, UNEVEN, EVEN = 100_000, 4, 1000
+#: Places of strings that large groups look for together.
+BLOCK = 13
 #: Anchors that are sorted together, whole groups.
 ROWS = 20_000
 LAST = (1 << 63) - 1
@@ -71,12 +75,17 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = K) -> np.ndarray:
-    """The places of the anchors of a whole text, chunk by chunk with enough on both sides that chunks change nothing."""
-    n = len(data)
+def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the anchors of a whole text, and for each the first and the last of its strings' starts.
+
+    A string's anchor is the first of its least grams, so every string has one anchor. Hashes are computed chunk by
+    chunk, with enough on both sides that chunks change nothing.
+    """
+    n, reach = len(data), length - k
+    none = np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, np.int64)
-    raw, width, out = np.frombuffer(data, np.uint8), length - k + 1, []
+        return none, none, none
+    raw, width, places, hashes = np.frombuffer(data, np.uint8), reach + 1, [], []
     for lo in range(0, n, CHUNK):
         a, b = max(0, lo - length), min(n, lo + CHUNK + length)
         h = _gram_hashes(raw[a:b], k)
@@ -85,9 +94,31 @@ def anchors(data: bytes, length: int = LENGTH, k: int = K) -> np.ndarray:
         least = _sliding(h, width, np.minimum)
         # a gram is chosen if it is the least of a window that it is in
         pad = np.zeros(width - 1, np.uint64)
-        chosen = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h) + a
-        out.append(chosen[(chosen >= lo) & (chosen < lo + CHUNK)])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        chosen = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
+        chosen = chosen[(chosen + a >= lo) & (chosen + a < lo + CHUNK)]
+        places.append(chosen + a)
+        hashes.append(h[chosen])
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    first, last = np.maximum(at - reach, 0), np.minimum(at, n - length)
+    # a string may not reach back to a gram as small, nor on to a smaller one; both are among the chosen
+    for back, bound in ((True, first), (False, last)):
+        open_ = np.arange(len(at))
+        step = 0
+        while len(open_):
+            step += 1
+            other = open_ - step if back else open_ + step
+            inside = (other >= 0) & (other < len(at))
+            open_, other = open_[inside], other[inside]
+            near = np.abs(at[open_] - at[other]) <= reach
+            open_, other = open_[near], other[near]
+            stops = h[other] <= h[open_] if back else h[other] < h[open_]
+            if back:
+                bound[open_[stops]] = np.maximum(bound[open_[stops]], at[other[stops]] + 1)
+            else:
+                bound[open_[stops]] = np.minimum(bound[open_[stops]], at[other[stops]] - width)
+            open_ = open_[~stops]
+    own = first <= last
+    return at[own], first[own], last[own]
 
 
 def blind_trie(strings: list[bytes], items: list[int], depth: int) -> list[int]:
@@ -225,18 +256,13 @@ def _int64(x) -> pa.Array:
     return pa.array(np.asarray(x, np.int64))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
     """(part, mark, around, before, after, pos, key, at, state): all anchors.
 
-    around is the digest of everything within reach of the anchor, before and after bytes long. Of anchors that a batch holds several
+    around is the digest of all of the anchor's strings together, which begin before bytes before it and end after bytes after. Of anchors that a batch holds several
     times with equal surroundings one row (state 1) stands for them where they are counted; the others (state 2) are known to
     recur with all of their surroundings and go anywhere, so a frequent passage is few rows in one place.
     """
-    reach = length - k
     names = ["part", "mark", "around", "before", "after", "pos", "key", "at", "state"]
     parts = shuffle_partitions(df.sparkSession)
 
@@ -244,19 +270,20 @@ def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
         for whole in it:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                rows, places, sizes, marks, digests = [], [], [], [], []
+                rows, places, begins, ends, marks, digests = [], [], [], [], [], []
                 for i, t in enumerate(b.column(2)):
                     data = t.as_buffer().to_pybytes()
-                    found = anchors(data, length, k)
+                    found, first, last = anchors(data, length, k)
                     rows.append(np.full(len(found), i))
                     places.append(found)
-                    sizes.append(np.full(len(found), len(data)))
-                    for p in found.tolist():
+                    begins.append(first)
+                    ends.append(last + length)
+                    for p, x, y in zip(found.tolist(), first.tolist(), ends[-1].tolist(), strict=True):
                         marks.append(xxhash.xxh3_64_intdigest(data[p : p + k]))
-                        digests.append(xxhash.xxh3_64_intdigest(data[max(0, p - reach) : p + length], min(p, reach)))
+                        digests.append(xxhash.xxh3_64_intdigest(data[x:y], p - x))
                 if not marks:
                     continue
-                row, at, size = np.concatenate(rows), np.concatenate(places), np.concatenate(sizes)
+                row, at, begin, end = map(np.concatenate, (rows, places, begins, ends))
                 mark, around = np.array(marks, np.uint64), np.array(digests, np.uint64)
                 order = np.lexsort((around, mark))
                 new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (around[order][1:] != around[order][:-1])])
@@ -270,7 +297,7 @@ def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(spread.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(around.view(np.int64)),
-                        pa.array(np.minimum(at, reach).astype(np.int32)), pa.array(np.minimum(size - at, length).astype(np.int32)), *own, pa.array(at.astype(np.int32)), pa.array(state),
+                        pa.array((at - begin).astype(np.int32)), pa.array((end - at).astype(np.int32)), *own, pa.array(at.astype(np.int32)), pa.array(state),
                     ],
                     names,
                 )
@@ -279,13 +306,13 @@ def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """(mark, pos, key, at, start, stop) of the anchors that can recur; rows come sorted and pass in a stream.
+    """(mark, pos, key, at, start, stop, done) of the anchors that can recur; rows come sorted and pass in a stream.
 
-    Where all surroundings recur the anchor is done: start and stop say what that covers. start is -1 for the anchors whose
-    strings are still to be compared: those with surroundings of their own, and one for each
+    start and stop are the bounds of an anchor's strings. Where all of them recur together the anchor is done. The others'
+    strings are still to be compared: those of anchors with surroundings of their own, and those of one anchor for each
     of the recurring surroundings beside them.
     """
-    names = ["mark", "pos", "key", "at", "start", "stop"]
+    names = ["mark", "pos", "key", "at", "start", "stop", "done"]
 
     def pick(t: pa.Table) -> Iterator[pa.RecordBatch]:
         column = lambda n: t.column(n).to_numpy()
@@ -309,10 +336,10 @@ def recurring(rows: DataFrame) -> DataFrame:
         several = np.repeat(kinds > 1, np.diff(np.concatenate([heads, [len(mark)]])))
         compare = chosen & mixed & several
         start, stop = column("at").astype(np.int64) - column("before"), column("at").astype(np.int64) + column("after")
-        for keep, a, z in ((again, start, stop), (compare, np.full(len(mark), -1), np.full(len(mark), -1))):
+        for keep, done in ((again, True), (compare, False)):
             at = np.flatnonzero(keep)
             if len(at):
-                yield pa.RecordBatch.from_arrays([_int64(mark[at]), _int64(column("pos")[at]), _int64(column("key")[at]), _int64(column("at")[at]), _int64(a[at]), _int64(z[at])], names)
+                yield pa.RecordBatch.from_arrays([*[_int64(c[at]) for c in (mark, column("pos"), column("key"), column("at"), start, stop)], pa.array(np.full(len(at), done))], names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -330,12 +357,11 @@ def recurring(rows: DataFrame) -> DataFrame:
             yield from pick(pa.concat_tables(held).combine_chunks())
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "part").sortWithinPartitions("mark", "around").mapInArrow(batches, ", ".join(f"{c} long" for c in names))
+    return rows.repartition(n, "part").sortWithinPartitions("mark", "around").mapInArrow(batches, "mark long, pos long, key long, at long, start long, stop long, done boolean")
 
 
-def contexts(df: DataFrame, length: int, k: int) -> DataFrame:
-    """(mark, pos, key, at, before, after) for df (pos, key, data, marks): the mirrored bytes before each anchor, the bytes from it on."""
-    reach = length - k
+def contexts(df: DataFrame) -> DataFrame:
+    """(mark, pos, key, at, before, after) for df (pos, key, data, marks): the mirrored bytes of each anchor's strings before it, their bytes from it on."""
     names = ["mark", "pos", "key", "at", "before", "after"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,14 +371,13 @@ def contexts(df: DataFrame, length: int, k: int) -> DataFrame:
                 out: list[list] = [[], [], [], [], [], []]
                 for pos, key, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                     data = t.as_buffer().to_pybytes()
-                    found = marks.values
-                    at, mark = found.field("at").to_pylist(), found.field("mark").to_pylist()
+                    at, mark, start, stop = (marks.values.field(n).to_pylist() for n in ("at", "mark", "start", "stop"))
                     out[0] += mark
                     out[1] += [pos] * len(at)
                     out[2] += [key] * len(at)
                     out[3] += at
-                    out[4] += [data[max(0, p - reach) : p][::-1] for p in at]
-                    out[5] += [data[p : p + length] for p in at]
+                    out[4] += [data[a:p][::-1] for a, p in zip(start, at, strict=True)]
+                    out[5] += [data[p:z] for p, z in zip(at, stop, strict=True)]
                 yield pa.RecordBatch.from_arrays([*map(_int64, out[:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], names)
 
     return df.mapInArrow(batches, "mark long, pos long, key long, at long, before binary, after binary")
@@ -398,27 +423,51 @@ def matched(rows: DataFrame, length: int, k: int) -> DataFrame:
     return rows.repartition(n, "mark").sortWithinPartitions("mark").mapInArrow(batches, "pos long, key long, start long, stop long")
 
 
-def counted(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """The same as matched() for marks of any size: every string around an anchor is a row, and rows are aggregated."""
-    reach = length - k
+def _strings(rows: DataFrame, cut, names: list[str]) -> DataFrame:
+    """(names, high, low): a row for each of cut(before, after, ...), which gives values for names and a digest."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                out: list[tuple] = []
-                for pos, key, at, before, after in zip(*(b.column(n).to_pylist() for n in ("pos", "key", "at", "before", "after")), strict=True):
-                    data = before[::-1] + after
-                    for o in range(max(0, length - len(after)), min(len(before), reach) + 1):
-                        # the anchor's place counts as part of the string, so that a string of two anchors isn't counted twice
-                        h = xxhash.xxh3_128_intdigest(data[len(before) - o : len(before) - o + length], o)
-                        out.append((_signed(h >> 64), _signed(h & (1 << 64) - 1), pos, key, at - o))
+                out = [(*own, h >> 64, h & (1 << 64) - 1) for row in b.to_pylist() for *own, h in cut(**row)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([_int64(c) for c in zip(*out, strict=True)], ["high", "low", "pos", "key", "start"])
+                    *own, high, low = zip(*out, strict=True)
+                    wide = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
+                    yield pa.RecordBatch.from_arrays([*map(_int64, own), *wide], [*names, "high", "low"])
+
+    return rows.mapInArrow(batches, ", ".join(f"{n} long" for n in [*names, "high", "low"]))
+
+
+def counted(rows: DataFrame, length: int) -> DataFrame:
+    """The same as matched() for marks of any size: strings are rows of an aggregation, in two rounds.
+
+    First the strings of an anchor that begin in the same BLOCK places are looked for by the bytes that they all share; where
+    these occur once, none of them recurs. The strings of the other blocks are then looked for one by one.
+    """
+
+    def blocks(pos, key, at, before, after, **_):
+        data, size = before[::-1] + after, len(before)
+        for i in range((length - len(after)) // BLOCK, size // BLOCK + 1):
+            a, z = size - i * BLOCK, size + length - (i + 1) * BLOCK + 1
+            # the anchor's place counts as part of the bytes
+            yield pos, key, at, i, xxhash.xxh3_128_intdigest(data[a:z], i)
+
+    def strings(pos, key, at, before, after, blocks, **_):
+        data, size = before[::-1] + after, len(before)
+        for i in blocks:
+            for o in range(max(i * BLOCK, length - len(after)), min((i + 1) * BLOCK, size + 1)):
+                yield pos, key, at - o, xxhash.xxh3_128_intdigest(data[size - o : size - o + length], o)
+
+    def again(found: DataFrame) -> DataFrame:
+        several = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+        return found.join(several, ["high", "low"], "left_semi")
 
-    strings = rows.mapInArrow(batches, "high long, low long, pos long, key long, start long")
-    again = strings.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    return strings.join(again, ["high", "low"], "left_semi").groupBy("pos", "key", F.floor(F.col("start") / length)).agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).select("pos", "key", "start", "stop")
+    rows = written(rows, "large")
+    near = again(written(_strings(rows, blocks, ["pos", "key", "at", "block"]), "blocks"))
+    near = near.groupBy("pos", "key", "at").agg(F.collect_set("block").alias("blocks"))
+    found = again(written(_strings(rows.join(near, ["pos", "key", "at"]), strings, ["pos", "key", "start"]), "strings"))
+    return found.groupBy("pos", "key", F.floor(F.col("start") / length)).agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).select("pos", "key", "start", "stop")
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -440,18 +489,19 @@ def dedup_strings(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str =
     """
     source = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     marks = written(recurring(occurrences(source, length, k)), "marks")
-    compared = marks.where("start < 0").select("mark", "pos", "key", "at")
-    large = compared.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("mark")
-    done = marks.where("start >= 0").select("pos", "key", "start", "stop")
+    compared = marks.where("not done").drop("done")
+    limit = min(GROUP, max(EVEN, UNEVEN * compared.count() // shuffle_partitions(df.sparkSession)))
+    large = compared.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("mark")
+    done = marks.where("done").select("pos", "key", "start", "stop")
 
     def around(rows: DataFrame) -> DataFrame:
-        by_doc = rows.groupBy("pos", "key").agg(F.collect_set(F.struct("at", "mark")).alias("marks"))
-        return contexts(source.join(by_doc, ["pos", "key"]), length, k)
+        by_doc = rows.groupBy("pos", "key").agg(F.collect_set(F.struct("at", "mark", "start", "stop")).alias("marks"))
+        return contexts(source.join(by_doc, ["pos", "key"]))
 
     if large.isEmpty():
         covered = matched(around(compared), length, k)
     else:
-        covered = matched(around(compared.join(large, "mark", "left_anti")), length, k).unionByName(counted(around(compared.join(large, "mark", "left_semi")), length, k))
+        covered = matched(around(compared.join(large, "mark", "left_anti")), length, k).unionByName(counted(around(compared.join(large, "mark", "left_semi")), length))
     cover = done.unionByName(covered).groupBy("pos", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cover"))
     joined = source.join(cover, ["pos", "key"], "left").select(F.when(F.col("pos") != LAST, F.col("pos")).alias("doc_id"), "key", "data", "cover")
 

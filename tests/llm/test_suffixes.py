@@ -50,14 +50,18 @@ def test_sorting(shallow):
 def test_equal_strings_have_equal_anchors(monkeypatch):
     rng = random.Random(1)
     data = bytes(rng.randrange(256) for _ in range(3000)) + b"ab" * 200 + bytes(rng.randrange(4) for _ in range(900))
-    found = set(suffixes.anchors(data, 40, 12).tolist())
-    for i in range(len(data) - 39):
-        inside = {p - i for p in found if i <= p <= i + 28}
-        assert inside
-        alone = set(suffixes.anchors(data[i : i + 40], 40, 12).tolist())
-        assert alone <= inside
+    at, first, last = suffixes.anchors(data, 40, 12)
+    anchor = {}
+    for p, a, z in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+        assert p - 28 <= a <= z <= p
+        for i in range(a, z + 1):
+            assert anchor.setdefault(i, p) == p
+    assert set(anchor) == set(range(len(data) - 39))
+    for i, p in anchor.items():
+        alone = suffixes.anchors(data[i : i + 40], 40, 12)
+        assert [x.tolist() for x in alone] == [[p - i], [0], [0]]
     monkeypatch.setattr(suffixes, "CHUNK", 64)
-    assert set(suffixes.anchors(data, 40, 12).tolist()) == found
+    assert all((x == y).all() for x, y in zip(suffixes.anchors(data, 40, 12), (at, first, last), strict=True))
 
 
 @pytest.mark.parametrize("group, alphabet", [(100_000, "abcdefghijé"), (3, "abcdefghijé"), (100_000, "ab")])
@@ -74,5 +78,5 @@ def test_against_brute_force(spark, monkeypatch, group, alphabet):
 
 def test_long_text():
     data = bytes(np.random.default_rng(0).integers(0, 256, 2_000_000, dtype=np.uint8))
-    n = len(suffixes.anchors(data))
+    n = len(suffixes.anchors(data)[0])
     assert 0.8 < n / (2 * len(data) / (suffixes.LENGTH - suffixes.K + 2)) < 1.2
