@@ -98,10 +98,12 @@ def window_rows(df: DataFrame, min_words: int, doc_id: str, text: str) -> DataFr
 def repeated(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(pos, key, spans): the windows of each document that repeat an earlier one."""
     rows = written(window_rows(df, min_words, doc_id, text), "windows")
-    marks = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # written, so that the joins get both sides by a shuffle that can split a frequent key
+    marks = written(rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks")
     candidates = written(rows.join(marks, "mark", "left_semi").drop("mark"), "candidates")
     place = F.struct("pos", "key", "start")
     first = candidates.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    first = written(first, "first")
     later = candidates.join(first, ["high", "low"]).where(place != F.col("first"))
     return later.groupBy("pos", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
