@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, by DataFrame functions alone.
 
-Letters are a text's words. Of the k-mers (K words) those are chosen whose smallest
+Letters are a text's words, or its characters where it has few words or none but very long ones. Of the k-mers (K words) those are chosen whose smallest
 s-mer (S words, by hash) stands at their beginning or end. Whether a k-mer is chosen depends
 on nothing outside it, so equal passages give equal anchors wherever they stand, with their positions.
 A fingerprint is the sketch of the smallest hashes of the anchors; the likeness of
@@ -19,6 +19,8 @@ from crawlloom.llm.common import content_key, written
 K, S = 5, 2
 #: Hashes in a sketch.
 SKETCH = 64
+#: Texts of fewer words, or of longer ones in the mean, are taken by characters.
+FEW, LONG = 2 * K, 20
 LAST = (1 << 63) - 1
 #: Documents whose order is worked out in one task.
 ORDERED = 500
@@ -33,23 +35,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def letters(text: Column) -> Column:
+    """A text's words, or the characters of its words joined by single spaces."""
+
+    def choose(w: Column) -> Column:
+        joined = F.array_join(w, " ")
+        return F.when((F.size(w) > 0) & ((F.size(w) < FEW) | (F.length(joined) > (LONG + 1) * F.size(w))), F.split(joined, "")).otherwise(w)
+
+    return let(words(text), choose)
+
+
 def anchors_of(tokens: Column) -> Column:
-    """array<struct<pos, hash>> of the chosen k-mers; pos counts words from 0. Fewer than K words are one k-mer, none have no anchor."""
+    """array<struct<pos, hash>> of the chosen k-mers; pos counts letters from 0. Where none is chosen it is the one of the smallest hash. Fewer than K letters are one k-mer, none have no anchor."""
     width = K - S + 1
 
     def smers(w: Column) -> Column:
         n = F.size(w) - (S - 1)
         return F.transform(F.slice(w, 1, F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, S)]))
 
-    def chosen(h: Column) -> Column:
+    def kmers(h: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
         def kmer(x: Column, i: Column) -> Column:
             inner = [x, *[F.get(h, i + j) for j in range(1, width)]]
-            low = F.least(*inner)
             # these s-mers cover all words of the k-mer
             cover = [inner[j] for j in sorted({*range(0, width, S), width - 1})]
-            return F.when((low == inner[0]) | (low == inner[-1]), F.struct(i.alias("pos"), F.xxhash64(*cover).alias("hash")))
+            low = F.least(*inner)
+            return body((low == inner[0]) | (low == inner[-1]), i, F.xxhash64(*cover))
+
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0))), kmer)
+
+    def chosen(h: Column) -> Column:
+        closed = F.filter(kmers(h, lambda ok, i, x: F.when(ok, F.struct(i.alias("pos"), x.alias("hash")))), lambda a: a.isNotNull())
+
+        def smallest() -> Column:
+            # by the bits that a sketch keeps and in their order
+            low = F.array_min(kmers(h, lambda ok, i, x: F.struct(F.shiftrightunsigned(x, 32).alias("order"), i.alias("pos"), x.alias("hash"))))
+            return F.array(F.struct(low["pos"].alias("pos"), low["hash"].alias("hash")))
 
-        return F.filter(F.transform(F.slice(h, 1, F.greatest(F.size(h) - (width - 1), F.lit(0))), kmer), lambda a: a.isNotNull())
+        return let(closed, lambda c: F.when(F.size(c) > 0, c).otherwise(smallest()))
 
     def both(w: Column) -> Column:
         short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.concat_ws(" ", w)).alias("hash")))
@@ -61,7 +83,7 @@ def anchors_of(tokens: Column) -> Column:
 
 def sketch(text: Column) -> Column:
     """The SKETCH smallest of the anchors' hashes, as unsigned 32-bit numbers in order."""
-    hashes = F.transform(anchors_of(words(text)), lambda a: F.shiftrightunsigned(a["hash"], 32))
+    hashes = F.transform(anchors_of(letters(text)), lambda a: F.shiftrightunsigned(a["hash"], 32))
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
 
 
@@ -80,7 +102,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def anchors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, hash) of every anchor of every whole text."""
-    rows = df.select(F.col(doc_id), F.explode(anchors_of(words(F.col(text)))).alias("a"))
+    rows = df.select(F.col(doc_id), F.explode(anchors_of(letters(F.col(text)))).alias("a"))
     return rows.select(doc_id, "a.pos", "a.hash")
 
 

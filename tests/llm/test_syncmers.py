@@ -60,3 +60,21 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "x" * 300_000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in syncmers.fingerprint_edits(df).collect()}
     assert got[1]["near_next"] == 1.0 and len(got[1]["fingerprint"]) == 8 * syncmers.SKETCH and len(got[3]["fingerprint"]) == 8
+
+
+def test_short_and_unspaced_texts_have_anchors(spark):
+    rng = random.Random(3)
+    short = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (5, 6, 7) for _ in range(30)]
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(400))
+    edited = han[:200] + "\u3042" + han[201:]
+    spaced = " ".join(han[i : i + 50] for i in range(0, 400, 50))
+    df = spark.createDataFrame(list(enumerate([*short, han, edited, spaced, ""])), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in df.select("doc_id", F.size(syncmers.sketch(F.col("text"))).alias("n")).collect()}
+    assert all(rows[i]["n"] > 0 for i in range(len(short))) and rows[len(short) + 3]["n"] == 0
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_edits(df).collect()}
+    assert len({got[i]["fingerprint"] for i in range(len(short))}) == len(short)
+    assert got[len(short)]["near_next"] > 0.8
+    assert rows[len(short) + 2]["n"] == syncmers.SKETCH
+    # one anchor where no k-mer is closed
+    words = spark.createDataFrame([(i, [f"v{rng.randrange(10**6)}" for _ in range(5 + i % 2)]) for i in range(60)], "i int, w array<string>")
+    assert all(r["n"] >= 1 for r in words.select(F.size(syncmers.anchors_of(F.col("w"))).alias("n")).collect())
