@@ -2,7 +2,7 @@
 
 Each host has a tree over its path segments. Segments of digits, long hex strings and the like
 are wildcards from the start. Going down level by level, the children
-of a node become one wildcard if they are too many for what they hold, or if
+of a node become one wildcard if they are too many for what they hold and small themselves, or if
 their labelled shares don't differ significantly from that of their mostly good siblings (a two-proportion
 z-test); only the others keep a branch of their own. A template is blocked if the smoothed
 share of bad labels below it is high. Everything is DataFrame operations; the
@@ -81,7 +81,8 @@ def templates(urls: DataFrame, z: float = Z, many: int = MANY, mean: float = MEA
         share = F.try_divide(F.col("bad") + their_bad, F.col("labelled") + others)
         apart = F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(their_bad, others))
         error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), others)))
-        few = (F.col("k") < many) | (F.col("all_n") >= mean * F.col("k"))
+        # a child with enough pages of its own is tested whatever its siblings have
+        few = (F.col("k") < many) | (F.col("all_n") >= mean * F.col("k")) | (F.col("n") >= mean)
         known = children.join(nodes, ["host", "template"]).where(few & (F.col("labelled") > 0) & (others > 0))
         own = known.where(apart > z * error)
         own = own.select("host", "template", "child", F.lit(True).alias("own"))

@@ -55,3 +55,10 @@ def test_templates(spark):
     parsed = pages.withColumn("path", urlfilter.host_and_path(F.col("url"))[1]).withColumn("host", urlfilter.host_and_path(F.col("url"))[0]).withColumn("segs", urlfilter.segments(F.col("path"))).join(spark.createDataFrame(labels, "page_id long, bad int"), "page_id", "left")
     found = {(r["host"], r["template"]) for r in urlfilter.templates(parsed.select("host", "segs", "bad")).collect()}
     assert found == {("site.test", "/casino/*/*"), ("site.test", "/*/*/*"), ("good.test", "/*")}
+
+
+def test_large_section_beside_many_small_ones(spark):
+    rows = [(i, f"https://site.test/casino/bet-{i}") for i in range(60)] + [(1000 + i, f"https://site.test/topic-{i}/text-{i}") for i in range(600)]
+    labels = [(i, int(i < 1000)) for i, _ in rows]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "label_id long, bad int"), rules=()).toPandas()
+    assert set(got[got.verdict == "block"].page_id) == set(range(60))
