@@ -30,6 +30,37 @@ def trim(s: Column) -> Column:
     return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
 
 
+class Parts:
+    """A URL's parts from one match of SPLIT, for expressions that need several of them."""
+
+    def __init__(self, url: Column, parts: Column):
+        self.url = url
+        self.scheme, self.authority, self.raw_path, self.asked, self.marked = (F.lower(F.get(parts, F.lit(0))), *[F.get(parts, F.lit(i)) for i in range(1, 5)])
+        self.host = F.regexp_replace(self.authority, "^.*@", "")
+
+    def ok(self) -> Column:
+        name, p, f = self.host, self.raw_path, F.substr(self.marked, F.lit(2))
+        bad = (
+            self.url.rlike(r"[\x00-\x1F\x7F]")
+            | (p.contains("%") & p.rlike(BAD_PERCENT))
+            | (f.contains("%") & f.rlike(BAD_PERCENT))
+            | name.rlike(r"[ \"<>^`{}|\\]")
+            | (name.contains(":") & name.rlike(r":[^:\]]*$") & ~name.rlike(r":[0-9]*$"))
+            | (name.startswith("[") & ~name.rlike(r"\](:[0-9]*)?$"))
+            | self.url.startswith(":")
+            | ((self.scheme == "") & (self.authority == "") & p.rlike("^[^/]*:"))
+        )
+        return ~bad
+
+    def opaque(self) -> Column:
+        return (self.scheme != "") & ~self.url.rlike(r"^[^:]*://") & (self.raw_path != "") & ~self.raw_path.startswith("/")
+
+
+def parted(url: Column, body: Callable[[Parts], Column]) -> Column:
+    """body of the URL's parts; the sign between them can't be in a URL that parses."""
+    return let(F.split(F.regexp_replace(url, SPLIT, "$1\x00$2\x00$3\x00$4\x00$5"), "\x00"), lambda p: body(Parts(url, p)))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, SPLIT, 1))
 
@@ -58,24 +89,12 @@ def fragment(url: Column) -> Column:
 
 def ok(url: Column) -> Column:
     """Whether the URL parses at all."""
-    name, path = host(url), raw_path(url)
-    bad = (
-        url.rlike(r"[\x00-\x1F\x7F]")
-        | path.rlike(BAD_PERCENT)
-        | fragment(url).rlike(BAD_PERCENT)
-        | name.rlike(r"[ \"<>^`{}|\\]")
-        | (name.rlike(r":[^:\]]*$") & ~name.rlike(r":[0-9]*$"))
-        | (name.startswith("[") & ~name.rlike(r"\](:[0-9]*)?$"))
-        | url.startswith(":")
-        | ((scheme(url) == "") & (authority(url) == "") & path.rlike("^[^/]*:"))
-    )
-    return ~bad
+    return parted(url, Parts.ok)
 
 
 def opaque(url: Column) -> Column:
     """Whether a scheme is followed by neither a host nor a rooted path, as in mailto:."""
-    path = raw_path(url)
-    return (scheme(url) != "") & ~url.rlike(r"^[^:]*://") & (path != "") & ~path.startswith("/")
+    return parted(url, Parts.opaque)
 
 
 def decoded(path: Column) -> Column:
@@ -104,11 +123,15 @@ def site(url: Column) -> Column:
 
 def canonicalize(url: Column) -> Column:
     """Fragment off, an empty path /, the path printed; otherwise, and where it doesn't parse, unchanged."""
-    own = F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise("")
-    name = F.when(url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"), F.concat(F.lit("//"), authority(url))).otherwise("")
-    p = raw_path(url)
-    rest = F.when(opaque(url), p).otherwise(F.when(p == "", "/").otherwise(escaped(p)))
-    return F.when(ok(url), F.concat(own, name, rest, F.regexp_extract(url, SPLIT, 4))).otherwise(url)
+
+    def printed(u: Parts) -> Column:
+        own = F.when(u.scheme != "", F.concat(u.scheme, F.lit(":"))).otherwise("")
+        name = F.when(url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"), F.concat(F.lit("//"), u.authority)).otherwise("")
+        p = u.raw_path
+        rest = F.when(u.opaque(), p).otherwise(F.when(p == "", "/").otherwise(escaped(p)))
+        return F.when(u.ok(), F.concat(own, name, rest, u.asked)).otherwise(url)
+
+    return parted(url, printed)
 
 
 def without_dots(p: Column) -> Column:
@@ -126,20 +149,19 @@ def without_dots(p: Column) -> Column:
 def normalize(base: Column, href: Column) -> Column:
     """href resolved against base without its fragment; null if empty, a fragment only, unparseable or not http(s)."""
 
-    def resolved(h: Column) -> Column:
-        own_scheme = F.when(scheme(h) == "", scheme(base)).otherwise(scheme(h))
-        absolute = (scheme(h) != "") | (authority(h) != "")
-        p, q = escaped(raw_path(h)), F.regexp_extract(h, SPLIT, 4)
-        base_path = escaped(raw_path(base))
+    def resolved(h: Parts, b: Parts) -> Column:
+        own_scheme = F.when(h.scheme == "", b.scheme).otherwise(h.scheme)
+        absolute = (h.scheme != "") | (h.authority != "")
+        p, base_path = escaped(h.raw_path), escaped(b.raw_path)
         joined = F.when(p == "", base_path).when(p.startswith("/"), p).otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), p))
-        name = F.when(absolute, authority(h)).otherwise(authority(base))
-        full = F.when(absolute, p).otherwise(joined)
-        asked = F.when(~absolute & (p == "") & (q == ""), F.regexp_extract(base, SPLIT, 4)).otherwise(q)
-        out = F.concat(own_scheme, F.lit(":"), F.when(name != "", F.concat(F.lit("//"), name)).otherwise(""), without_dots(full), asked)
-        wanted = (h != "") & ~h.startswith("#") & ok(h) & ~opaque(h) & own_scheme.isin("http", "https")
+        name = F.when(absolute, h.authority).otherwise(b.authority)
+        full = let(F.when(absolute, p).otherwise(joined), without_dots)
+        query_ = F.when(~absolute & (h.raw_path == "") & (h.asked == ""), b.asked).otherwise(h.asked)
+        out = F.concat(own_scheme, F.lit(":"), F.when(name != "", F.concat(F.lit("//"), name)).otherwise(""), full, query_)
+        wanted = (h.url != "") & ~h.url.startswith("#") & h.ok() & ~h.opaque() & own_scheme.isin("http", "https")
         return F.when(wanted, out)
 
-    return let(trim(href), resolved)
+    return let(trim(href), lambda h: parted(h, lambda own: parted(base, lambda b: resolved(own, b))))
 
 
 def same_host(base: Column, url: Column) -> Column:

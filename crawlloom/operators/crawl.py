@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlloom.functions import html, urls
 from crawlloom.functions.classify import is_html, resource_type
+from crawlloom.scratch import Growing, forget, numbered
+from crawlloom.scratch import written as kept
 
-#: Only where the session names no folder of its own, as in tests on one machine.
-LOCAL_SCRATCH = "/tmp/crawlloom-scratch"
 Fetcher = Callable[[DataFrame], DataFrame]
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: fetched once, and safe from lost executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{root.rstrip('/')}/crawl-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges that are left over and fit into one process; reach() goes through them in one step instead of a job a level.
+FEW_EDGES = 500_000
 
 
 def check_base(base_url: str) -> None:
@@ -45,23 +38,55 @@ def seeds(spark: SparkSession, base_url: str, sitemap_urls: DataFrame | None = N
     return base.unionByName(listed.where(~urls.excluded(F.col("url"), exclude or []))).dropDuplicates(["url"])
 
 
-def reach(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
     """(node, depth, parent) of all nodes that edges (src, dst) reach from start (node).
 
-    A node's parent is the smallest of the nodes that reach it first. Each round is one join of the frontier with the edges
-    and one anti-join with what has been visited; rounds are written out, so plans don't grow.
+    A node's parent is the smallest of the nodes that reach it first. A level is one join of the frontier with the edges
+    that are left, and an edge is left only while its end is unvisited: nothing is ever compared with all that was visited, and a
+    level moves less than the one before. As soon as at most few_edges are left, which is counted every level, what they
+    reach is found in one step, however deep it lies. Null nodes take no part.
     """
-    visited = kept(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).dropDuplicates(["node"]), "round")
-    frontier = visited
-    for depth in range(1, max_rounds + 1):
-        found = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(edges["dst"].alias("node")).agg(F.min("src").alias("parent"))
-        fresh = kept(found.join(visited, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"), "round")
-        if fresh.isEmpty():
-            return visited
-        visited, frontier = visited.unionByName(fresh), fresh
-        if depth % 20 == 0:
-            visited = kept(visited, "visited")
-    raise RuntimeError(f"the traversal isn't finished after {max_rounds} rounds")
+    kind = edges.schema["src"].dataType
+    first = start.where("node is not null").select(F.col("node").cast(kind).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).dropDuplicates(["node"])
+    visited = Growing(first, "visited")
+    frontier, depth = visited.rows(), 0
+    left = kept(edges.select("src", "dst").where("src is not null and dst is not null").distinct().join(frontier.select(F.col("node").alias("dst")), "dst", "left_anti"), "edges")
+    while True:
+        if left.limit(few_edges + 1).count() <= few_edges:
+            rest = _rest(left, frontier, depth)
+            if rest.num_rows:
+                visited.add(left.sparkSession.createDataFrame(rest, first.schema))
+            return visited.rows()
+        depth += 1
+        found = left.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        frontier = kept(found.select("node", F.lit(depth).alias("depth"), "parent"), "frontier")
+        if frontier.isEmpty():
+            return visited.rows()
+        visited.add(frontier)
+        before, left = left, kept(left.join(frontier.select(F.col("node").alias("dst")), "dst", "left_anti"), "edges")
+        forget(before)
+
+
+def _rest(left: DataFrame, frontier: DataFrame, depth: int) -> pa.Table:
+    """The levels below depth over edges that fit into one process; of the frontier only nodes with such edges come here."""
+    ends: dict = {}
+    rows = left.select("src", "dst").toArrow()
+    for src, dst in zip(rows.column("src").to_pylist(), rows.column("dst").to_pylist(), strict=True):
+        ends.setdefault(src, []).append(dst)
+    at = frontier.select(F.col("node").alias("src")).join(left.select("src").distinct(), "src", "left_semi").toArrow().column("src").to_pylist()
+    seen: dict = {}
+    while at:
+        depth += 1
+        found: dict = {}
+        # in order of the nodes, so that the first to reach a node is the smallest
+        for src in sorted(at):
+            for dst in ends.get(src, ()):
+                if dst not in seen:
+                    found.setdefault(dst, (depth, src))
+        seen |= found
+        at = list(found)
+    kind = rows.schema.field("src").type
+    return pa.table({"node": pa.array(list(seen), kind), "depth": pa.array([d for d, _ in seen.values()], pa.int32()), "parent": pa.array([p for _, p in seen.values()], kind)})
 
 
 def replay(pages: DataFrame, redirects: DataFrame | None = None, max_redirects: int = 10) -> Fetcher:
@@ -97,55 +122,70 @@ def replay(pages: DataFrame, redirects: DataFrame | None = None, max_redirects:
     return fetch
 
 
+def shown(answers: DataFrame, base: Column) -> Column:
+    """The links on the base's host that an answer shows, each once."""
+    linked = F.when(is_html(F.col("content_type")), html.hrefs(F.col("body"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.transform(linked, lambda h: urls.normalize(base, h)), lambda u: u.isNotNull() & urls.same_host(base, u)))
+
+
+PAGE = ("url", "parent_url", "status_code", "content_type")
+
+
+def recorded(spark: SparkSession, base_url: str, pages: DataFrame, redirects: DataFrame | None = None, sitemap_urls: DataFrame | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """What crawl() gives over replay(pages, redirects), without a fetch for each level.
+
+    All stored pages show their links in one pass; the levels are those of reach() over these links, and
+    what is reached is looked up in the store.
+    """
+    check_base(base_url)
+    fetch = replay(pages, redirects)
+    known = pages.select(urls.canonicalize(F.col("url")).alias("url"))
+    if redirects is not None:
+        known = known.unionByName(redirects.select(F.col("src").alias("url")))
+    answers = fetch(known.distinct().withColumn("parent_url", F.lit("")))
+    links = answers.select(F.col("url").alias("src"), F.explode(shown(answers, F.lit(base_url))).alias("link")).select("src", urls.canonicalize(F.col("link")).alias("dst"))
+    edges = kept(links.where(~urls.excluded(F.col("dst"), exclude or [])), "links")
+    reached = reach(edges, seeds(spark, base_url, sitemap_urls, exclude).select(F.col("url").alias("node")))
+    found = fetch(reached.select(F.col("node").alias("url"), F.coalesce("parent", F.lit("")).alias("parent_url")))
+    return numbered(found.select(*PAGE, resource_type(F.col("content_type")).alias("resource_type")), "url", "parent_url")
+
+
 def crawl(
     spark: SparkSession,
     base_url: str,
     fetch: Fetcher,
     sitemap_urls: DataFrame | None = None,
     exclude: list[str] | None = None,
-    max_rounds: int = 1000,
     progress: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
     """The pages (pos, url, parent_url, status_code, content_type, resource_type) that links and sitemaps reach.
 
     Every URL is fetched once. What is excluded or visited is left out before fetching, and bodies end with their links.
-    Of the pages that show a URL first, its parent is the bytewise least. pos is the order by URL.
+    Of the pages that show a URL first, its parent is the bytewise least. pos is the order by URL. It goes on until no URL is
+    left; a level is one fetch. What is done and what is visited are folders that grow, so a plan is as long at the last level as at the first.
     """
     check_base(base_url)
     base = F.lit(base_url)
     frontier = kept(seeds(spark, base_url, sitemap_urls, exclude), "frontier")
-    visited, done = frontier.select("url"), None
+    visited, done = Growing(frontier.select("url"), "visited"), None
     total = 0
-    for _ in range(max_rounds):
+    while True:
         answers = fetch(frontier)
-        linked = F.when(is_html(F.col("content_type")), html.hrefs(F.col("body"))).otherwise(F.array().cast("array<string>"))
-        normal = F.filter(F.transform(linked, lambda h: urls.normalize(base, h)), lambda u: u.isNotNull() & urls.same_host(base, u))
         # the body is dropped in the same stage that parses it
-        got = kept(answers.select("url", "parent_url", "status_code", "content_type", resource_type(F.col("content_type")).alias("resource_type"), F.array_distinct(normal).alias("links")), "fetched")
+        got = kept(answers.select(*PAGE, resource_type(F.col("content_type")).alias("resource_type"), shown(answers, base).alias("links")), "fetched")
         pages = got.drop("links")
-        done = pages if done is None else done.unionByName(pages)
+        if done is None:
+            done = Growing(pages, "done")
+        else:
+            done.add(pages)
         links = got.select(F.col("url").alias("parent_url"), F.explode("links").alias("link")).select(urls.canonicalize(F.col("link")).alias("url"), "parent_url")
         wanted = links.where(~urls.excluded(F.col("url"), exclude or [])).groupBy("url").agg(F.min("parent_url").alias("parent_url"))
-        frontier = kept(wanted.join(visited, "url", "left_anti"), "frontier")
+        before, frontier = frontier, kept(wanted.join(visited.rows(), "url", "left_anti"), "frontier")
         n = frontier.count()
         if progress is not None:
             total += got.count()
             progress(total, n)
+        forget(before, got)
         if not n:
-            break
-        visited = visited.unionByName(frontier.select("url"))
-    else:
-        raise RuntimeError(f"the crawl isn't finished after {max_rounds} rounds")
-    return numbered(done)
-
-
-def numbered(pages: DataFrame) -> DataFrame:
-    """pages with pos, their order by URL: numbered range by range, each range after the ones before it."""
-    ranges = kept(pages.repartitionByRange(max(1, pages.sparkSession.sparkContext.defaultParallelism), "url", "parent_url").withColumn("range", F.spark_partition_id()), "ranges")
-    from pyspark.sql import Window
-
-    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
-    # one row for each range
-    first = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("url", "parent_url"))
-    return ranges.withColumn("place", place).join(F.broadcast(first), "range").select((F.col("first") + F.col("place") - 1).alias("pos"), "url", "parent_url", "status_code", "content_type", "resource_type").orderBy("pos")
+            return numbered(done.rows(), "url", "parent_url")
+        visited.add(frontier.select("url"))

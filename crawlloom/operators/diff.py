@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlloom.functions.classify import status_text
@@ -14,19 +14,19 @@ TYPES = (ADDED, REMOVED, STATUS, CONTENT_TYPE)
 
 
 def last_wins(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per URL: the last by position."""
-    return as_pages(pages, keys).groupBy(*keys, "url").agg(F.max_by(F.struct("status_code", "content_type"), "pos").alias("page"))
+    """One row per URL: the last by position, and how many rows it has."""
+    return as_pages(pages, keys).groupBy(*keys, "url").agg(F.max_by(F.struct("status_code", "content_type"), "pos").alias("page"), F.count("*").alias("n"))
 
 
-def changes(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, type, url, previous, current): what was added, removed, or changed its status or content type.
+def compared(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, url, n_previous, n_current, found): the rows a URL has on either side and its changes, those that don't hold being null.
 
     Both sides are reduced to a row per URL and meet in one full outer join on the same keys, so the
     join adds no shuffle to the reduction's. A URL can change in both ways.
     """
     on = [*keys, "url"]
-    old = last_wins(previous, keys).withColumnRenamed("page", "p")
-    new = last_wins(current, keys).withColumnRenamed("page", "c")
+    old = last_wins(previous, keys).withColumnsRenamed({"page": "p", "n": "n_previous"})
+    new = last_wins(current, keys).withColumnsRenamed({"page": "c", "n": "n_current"})
     p, c = F.col("p"), F.col("c")
     both = p.isNotNull() & c.isNotNull()
 
@@ -39,25 +39,31 @@ def changes(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ())
         F.when(both & (p["status_code"] != c["status_code"]), change(STATUS, status_text(p["status_code"]), status_text(c["status_code"]))),
         F.when(both & (p["content_type"] != c["content_type"]), change(CONTENT_TYPE, p["content_type"], c["content_type"])),
     )
-    rows = old.join(new, on, "full_outer").select(*on, F.explode(F.array_compact(found)).alias("change"))
+    return old.join(new, on, "full_outer").select(*on, "n_previous", "n_current", found.alias("found"))
+
+
+def changes(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, type, url, previous, current): what was added, removed, or changed its status or content type."""
+    rows = compared(previous, current, keys).select(*keys, "url", F.explode(F.array_compact("found")).alias("change"))
     return rows.select(*keys, "change.type", "url", "change.previous", "change.current")
 
 
+def report_order() -> list[Column]:
+    """By type, then by URL."""
+    return [F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")), F.col("url")]
+
+
 def ordered(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Changes in report order: by type, then by URL."""
-    place = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
-    return rows.orderBy(*keys, place, "url")
+    """Changes in report order."""
+    return rows.orderBy(*keys, *report_order())
 
 
 def of_type(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("type") == kind).drop("type")
 
 
-def statistics(previous: DataFrame, current: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """One row of six counts; the totals are of rows, repeated URLs included."""
-    rows = changes(previous, current) if rows is None else rows
-    names = dict(zip(TYPES, ("added", "removed", "status_changes", "content_type_changes"), strict=True))
-    counted = previous.select(F.lit("total_previous").alias("what")).unionByName(current.select(F.lit("total_current").alias("what")))
-    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("type")]
-    counted = counted.unionByName(rows.select(named.alias("what")))
-    return counted.agg(*[F.count_if(F.col("what") == n).alias(n) for n in ("total_previous", "total_current", *names.values())])
+def statistics(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """One row of six counts, from one pass over either side; the totals are of rows, repeated URLs included."""
+    totals = [F.coalesce(F.sum(f"n_{side}"), F.lit(0)).cast("long").alias(f"total_{side}") for side in ("previous", "current")]
+    names = ("added", "removed", "status_changes", "content_type_changes")
+    return compared(previous, current).agg(*totals, *[F.count_if(F.get("found", F.lit(i)).isNotNull()).alias(n) for i, n in enumerate(names)])

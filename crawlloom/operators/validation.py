@@ -113,11 +113,14 @@ def promote(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity", F.lit(ERROR))
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    """Report order: structure by severity, URL and kind; duplicates by canonical URL; then the plausibility rules in theirs."""
+def report_order() -> list[Column]:
+    """Structure by severity, URL and kind; duplicates by canonical URL; then the plausibility rules in theirs."""
     structure = F.col("section") == STRUCTURE
-    by = [F.when(structure, F.col("severity")).desc_nulls_last(), F.when(F.col("section") != SANITY, F.col("url")), F.when(structure, F.col("kind")), "rank"]
-    return findings.orderBy("section", *by)
+    return [F.col("section"), F.when(structure, -F.col("severity")), F.when(F.col("section") != SANITY, F.col("url")), F.when(structure, F.col("kind")), F.col("rank")]
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    return findings.orderBy(*report_order())
 
 
 def errors(findings: DataFrame) -> DataFrame:
@@ -129,5 +132,5 @@ def warnings(findings: DataFrame) -> DataFrame:
 
 
 def has_errors(findings: DataFrame) -> DataFrame:
-    """One row: has_errors."""
-    return findings.agg(F.coalesce(F.bool_or(F.col("severity") == ERROR), F.lit(False)).alias("has_errors"))
+    """One row: has_errors. A task stops at its first error."""
+    return errors(findings).select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias("has_errors"))

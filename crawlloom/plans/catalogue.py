@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+import csv
+import gzip
+import json
+import os
+from collections.abc import Callable, Iterable
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +16,10 @@ from pyspark.sql import functions as F
 from crawlloom.functions import classify, urls
 from crawlloom.operators import crawl, diff, duplicates, links, validation
 from crawlloom.plans import fixtures as fx
-from crawlloom.sources import export, sitemaps
+from crawlloom.plans import report
+from crawlloom.scratch import numbered, scratch_path, written
+from crawlloom.sources import export, sitemaps, snapshots
+from crawlloom.streaming import diffs
 
 #: A page of the tables that stands for a crawl's base, and prefixes to leave out.
 BASE = "https://thther.example.org/en/685"
@@ -25,11 +33,6 @@ ROBOTS = [
 ]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or crawl.LOCAL_SCRATCH
-    return f"{root.rstrip('/')}/files-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def extract_links(spark: SparkSession, d: str) -> DataFrame:
     return links.extract_links(fx.pages(spark, d))
 
@@ -177,13 +180,17 @@ def crawl_reach(spark: SparkSession, d: str) -> DataFrame:
     return crawl.reach(fx.graph(spark, d), start).select("node", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
-def crawl_replay(spark: SparkSession, d: str) -> DataFrame:
-    """A crawl over stored bodies made from the graph: page n of one site links to its edges' ends."""
+def _site(spark: SparkSession, d: str) -> DataFrame:
+    """Stored bodies made from the graph: page n of one site links to its edges' ends."""
     at = lambda c: F.concat(F.lit("https://e.test/n/"), F.col(c).cast("string"))
     edges = fx.graph(spark, d).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ends"))
     body = F.concat(F.lit("<html><a href='/n/0#x'>home</a>"), F.array_join(F.transform("ends", lambda e: F.concat(F.lit('<a class=x href="/n/'), e.cast("string"), F.lit('">n</a>'))), ""), F.lit("<a href='https://other.test/'>off</a><a href='mailto:x@y'>m</a></html>"))
-    stored = crawl.kept(edges.select(at("src").alias("url"), body.alias("body")), "stored")
-    return crawl.crawl(spark, "https://e.test/n/0", crawl.replay(stored)).select("url", "parent_url", "status_code", "content_type", "resource_type")
+    return written(edges.select(at("src").alias("url"), body.alias("body")), "stored")
+
+
+def crawl_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl over stored bodies."""
+    return crawl.recorded(spark, "https://e.test/n/0", _site(spark, d)).select("url", "parent_url", "status_code", "content_type", "resource_type")
 
 
 def _sitemap(spark: SparkSession, d: str, name: str, ns: str = "") -> DataFrame:
@@ -198,7 +205,7 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     docs = _sitemap(spark, d, "map", ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"')
     entries = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>")))), "")
     index = docs.agg(F.concat(F.lit("<sitemapindex>"), entries, F.lit("<sitemap><loc>https://s.test/index.xml</loc></sitemap><sitemap><loc>https://s.test/gone.xml</loc></sitemap></sitemapindex>")).alias("body"))
-    stored = crawl.kept(docs.unionByName(index.select(F.lit("https://s.test/index.xml").alias("url"), "body")), "sitemap-store")
+    stored = written(docs.unionByName(index.select(F.lit("https://s.test/index.xml").alias("url"), "body")), "sitemap-store")
 
     def fetch(frontier: DataFrame) -> DataFrame:
         return frontier.join(stored, "url", "left").select("url", F.when(F.col("body").isNull(), 404).otherwise(200).alias("status_code"), F.coalesce("body", F.lit("")).alias("body"))
@@ -211,36 +218,170 @@ def robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
     return sitemaps.robots_sitemaps(spark.createDataFrame(ROBOTS, "base_url string, status_code int, body string"))
 
 
+def crawl_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl with a base that is excluded itself, other excluded pages, seeds from a sitemap, one of them elsewhere, and redirects on the site and off it."""
+    at = lambda n: f"https://e.test/n/{n}"
+    listed = spark.createDataFrame([(at(2),), (at(9),), (at(5),), ("https://off.test/x",)], "url string")
+    hops = spark.createDataFrame([(at(3), at(4)), (at(6), "https://other.test/")], "src string, dst string")
+    return crawl.crawl(spark, at(0), crawl.replay(_site(spark, d), hops), listed, ["/n/0", "/n/5"])
+
+
+def sitemap_gzip(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies as they come: compressed, plain, cut off, missing."""
+    whole = gzip.compress("<urlset>\u00e9</urlset>".encode())
+    rows = [(0, whole), (1, b"<urlset/>"), (2, whole[:-10]), (3, None)]
+    return sitemaps.gunzip(spark.createDataFrame(rows, "n int, content binary")).select("n", "body")
+
+
 def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Stored as JSON rows and read again with the fixed schema."""
-    path = scratch(spark, "snapshot")
+    path = scratch_path(spark, "snapshot")
     fx.curr(spark, d).write.json(path)
     rows = spark.read.schema("pos BIGINT, url STRING, parent_url STRING, status_code INT, content_type STRING, resource_type STRING").option("mode", "FAILFAST").json(path)
     return rows.orderBy("url", "parent_url")
 
 
-def csv_export(spark: SparkSession, d: str) -> DataFrame:
-    """The CSV rows of a snapshot, written and read again."""
-    path = scratch(spark, "csv")
-    rows = fx.curr(spark, d)
-    named = export.named(rows.select("url", classify.status_text(F.col("status_code")).alias("status_code"), "content_type"), "url", "status_code", "content_type")
-    named.write.options(**export.OPTIONS).csv(path)
-    back = spark.read.schema("URL STRING, `Status Code` STRING, `Content Type` STRING").options(header="true", escape='"').csv(path)
-    return back.select(F.col("URL").alias("url"), F.col("Status Code").alias("status_text"), F.coalesce("Content Type", F.lit("")).alias("content_type"))
+def _file(spark: SparkSession, name: str) -> str:
+    """A path for a sink that writes on the driver's own disk."""
+    return scratch_path(spark, name).removeprefix("file:")
+
+
+def snapshot_document(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON document of a snapshot: saved beside, moved into place and loaded."""
+    path = _file(spark, "document")
+    snapshots.save(fx.curr(spark, d), snapshots.temp_file(path), BASE, datetime(2024, 5, 1, 12, tzinfo=UTC))
+    snapshots.atomic_replace(snapshots.temp_file(path), path)
+    meta, pages = snapshots.load(spark, path)
+    return pages.crossJoin(F.broadcast(meta.select("base_url", F.unix_timestamp("crawled_at").alias("crawled_at"))))
+
+
+def _csv(spark: SparkSession, path: str, columns: dict[str, str], **more: str) -> DataFrame:
+    """The rows of a CSV file in the driver's folder, in their order, under these names."""
+    with open(path, newline="", encoding="utf-8") as f:
+        head, *rows = csv.reader(f)
+    assert head == list(columns), head
+    schema = "pos int" + "".join(f", {c} string" for c in [*columns.values(), *more])
+    return spark.createDataFrame([(i, *r, *more.values()) for i, r in enumerate(rows)], schema)
+
+
+def snapshot_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = _file(spark, "snapshot-csv")
+    export.export_snapshot(fx.curr(spark, d), path)
+    return _csv(spark, path, {"URL": "url", "Status Code": "status_text", "Content Type": "content_type"})
+
+
+def changes_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The four files of a comparison."""
+    folder = _file(spark, "changes-csv")
+    export.export_changes(written(_changes(spark, d), "changes"), folder)
+    plain, valued = {"URL": "url"}, {"URL": "url", "Previous": "previous", "Current": "current"}
+    parts = [_csv(spark, f"{folder}/{n}", plain, previous="", current="", file=n) if n in ("added.csv", "removed.csv") else _csv(spark, f"{folder}/{n}", valued, file=n) for n in export.FILES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def report_csv(spark: SparkSession, d: str) -> DataFrame:
-    """All changes as rows of one CSV file, written and read again."""
-    path = scratch(spark, "report")
-    export.named(_changes(spark, d), "type", "url", "previous", "current").write.options(**export.OPTIONS).csv(path)
-    back = spark.read.schema("Type STRING, URL STRING, Previous STRING, Current STRING").options(header="true", escape='"').csv(path)
-    return back.select(*[F.coalesce(c, F.lit("")).alias(c.lower()) for c in back.columns])
+    """All changes as rows of one CSV file."""
+    path = _file(spark, "report-csv")
+    export.export_report(_changes(spark, d), path)
+    return _csv(spark, path, {"Type": "type", "URL": "url", "Previous": "previous", "Current": "current"})
+
+
+def _lines(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(lines)), "pos int, line string")
+
+
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison as it is printed."""
+    prev, curr = fx.prev(spark, d), fx.curr(spark, d)
+    rows = written(diff.changes(prev, curr), "changes")
+    return _lines(spark, report.diff_lines(rows, diff.statistics(prev, curr).first().asDict(), BASE, "2024-05-01T12:00:00Z", "2024-05-02T12:00:00Z"))
+
+
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison as it is printed for machines, read again list by list."""
+    lists = json.loads(report.diff_json(_changes(spark, d)))
+    rows = [(k, i, x, None, None) if isinstance(x, str) else (k, i, x["url"], x["previous"], x["current"]) for k, entries in lists.items() for i, x in enumerate(entries)]
+    return spark.createDataFrame(rows, "list string, pos int, url string, previous string, current string")
+
+
+def findings_text(spark: SparkSession, d: str) -> DataFrame:
+    """The findings as they are printed."""
+    return _lines(spark, report.finding_lines(written(validation.validate(fx.dup(spark, d), "https://e.test/p/1", 3), "findings")))
+
+
+def duplicates_text(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, report.duplicate_lines(written(duplicates.groups(fx.dup(spark, d)), "groups")))
+
+
+def diff_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(_changes(spark, d), *diff.report_order())
+
+
+def findings_ordered(spark: SparkSession, d: str) -> DataFrame:
+    odd = _odd(spark, d).where("url <> ''")
+    found = numbered(validation.structural(odd, BASE).unionByName(validation.sanity(odd, BASE, 3)), *validation.report_order())
+    return found.select("pos", "section", "url", "kind", "severity")
+
+
+def dup_by_severity(spark: SparkSession, d: str) -> DataFrame:
+    """Errors and warnings apart, either in order of the canonical URLs."""
+    groups = duplicates.groups(fx.dup(spark, d))
+    parts = [numbered(duplicates.of_severity(groups, s), "canonical").select("severity", "pos", "canonical") for s in (classify.ERROR, classify.WARNING)]
+    return parts[0].unionByName(parts[1])
+
+
+def findings_by_severity(spark: SparkSession, d: str) -> DataFrame:
+    found = validation.structural(_odd(spark, d), BASE)
+    errors, warnings = validation.errors(found), validation.warnings(found)
+    return errors.select(F.lit("errors").alias("part"), "url", "kind").unionByName(warnings.select(F.lit("warnings").alias("part"), "url", "kind"))
+
+
+def validate_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots that are wrong as a whole: without pages, without a base, with a base that fails, mostly unreachable."""
+    curr = fx.curr(spark, d)
+    down = curr.withColumn("status_code", F.when(F.col("pos") % 3 == 0, 200).otherwise(F.lit(503)))
+    base = curr.agg(F.min("url")).first()[0]
+    cases = {
+        "empty": validation.validate(curr.limit(0), BASE),
+        "no base": validation.structural(curr.where("status_code = 200"), ""),
+        "base fails": validation.sanity(down.withColumn("status_code", F.lit(500)), base),
+        "down": validation.sanity(down, "https://nowhere.test"),
+    }
+    return reduce(DataFrame.unionByName, [_shown(f).withColumn("case", F.lit(n)) for n, f in cases.items()])
+
+
+def sanity_by_site(spark: SparkSession, d: str) -> DataFrame:
+    """All sites of a snapshot judged at once, each against its own base and its pages before."""
+    own = lambda df: df.withColumn("site", urls.site(F.col("url")))
+    sites = own(fx.prev(spark, d)).groupBy("site").agg(F.min("url").alias("base_url"), (F.count("*") * 2).alias("previous_count"))
+    return validation.sanity_by_site(own(fx.curr(spark, d)), sites).select("site", "url", "kind", "severity", "detail")
+
+
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots as they arrive, each compared with the one before."""
+    folder, store, out = _file(spark, "arriving"), scratch_path(spark, "store"), scratch_path(spark, "changes")
+    os.makedirs(folder)
+    for day, rows in enumerate((fx.prev(spark, d), fx.curr(spark, d)), 1):
+        name = f"{folder}/{day}.json"
+        snapshots.save(rows, snapshots.temp_file(f"{folder}.{day}"), BASE, datetime(2024, 5, day, tzinfo=UTC))
+        os.utime(snapshots.temp_file(f"{folder}.{day}"), (day * 1000, day * 1000))
+        os.replace(snapshots.temp_file(f"{folder}.{day}"), name)
+    schema = "batch long, type string, url string, previous string, current string"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.select(F.lit(batch).cast("long").alias("batch"), "type", "url", "previous", "current").write.mode("append").parquet(out)
+
+    query = diffs.diff_stream(diffs.stream_snapshots(spark, folder), store, keep, scratch_path(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     extract_links, link_out_degree, url_split, url_canonicalize, url_dup_key, url_base_candidates, url_parent_path, robots_url, resource_type, is_html, status_text, exclude_paths,
-    diff_added, diff_removed, diff_status, diff_content_type, diff_report, diff_stats, diff_by_site, dedup_last_wins, dup_groups, dup_reason, dup_summary,
-    validate_structural, validate_sanity, validate_all, validate_strict, severity_counts, has_errors, crawl_reach, crawl_replay, sitemap_urls, robots_sitemaps, snapshot_roundtrip, csv_export, report_csv,
+    diff_added, diff_removed, diff_status, diff_content_type, diff_report, diff_stats, diff_by_site, diff_ordered, dedup_last_wins, dup_groups, dup_reason, dup_summary, dup_by_severity,
+    validate_structural, validate_sanity, validate_all, validate_strict, validate_whole, sanity_by_site, severity_counts, findings_by_severity, findings_ordered, has_errors,
+    crawl_reach, crawl_replay, crawl_seeded, sitemap_urls, sitemap_gzip, robots_sitemaps, snapshot_roundtrip, snapshot_document, snapshot_csv, changes_csv, report_csv,
+    report_text, report_json, findings_text, duplicates_text, stream_changes,
 )
 
 

@@ -47,6 +47,7 @@ CHANGES = f"""changes AS (
  UNION ALL SELECT 'Removed', url, '', '' FROM prev WHERE url NOT IN (SELECT url FROM curr)
  UNION ALL SELECT 'Status Change', c.url, {STATUS.format(c="p.status_code")}, {STATUS.format(c="c.status_code")} FROM prev p JOIN curr c USING (url) WHERE p.status_code <> c.status_code
  UNION ALL SELECT 'Content-Type Change', c.url, p.content_type, c.content_type FROM prev p JOIN curr c USING (url) WHERE p.content_type <> c.content_type)"""
+PLACE = "CASE type WHEN 'Added' THEN 0 WHEN 'Removed' THEN 1 WHEN 'Status Change' THEN 2 ELSE 3 END"
 DIFF = f"WITH {SNAPSHOTS}, {CHANGES} "
 
 REASON = f"""CASE WHEN {of(PATH, "ref")} <> '/' AND regexp_replace({of(PATH, "ref")}, '/$', '') = regexp_replace({of(PATH, "url")}, '/$', '') THEN 'Trailing slash variant'
@@ -143,6 +144,84 @@ SQL: dict[str, str] = {
     "robots_sitemaps": """SELECT * FROM (VALUES ('https://a.test', 'https://a.test/one.xml'), ('https://a.test', 'https://a.test/two.xml # kept'), ('https://b.test', 'https://b.test/sitemap.xml'),
  ('https://c.test:8080', 'https://c.test:8080/sitemap.xml'), ('https://e.test', 'https://e.test/sitemap.xml')) t(base_url, sitemap)""",
     "snapshot_roundtrip": f"WITH {SNAPSHOTS}, {TYPED} SELECT pos, url, parent_url, status_code, content_type, resource_type FROM typed",
-    "csv_export": f"WITH {SNAPSHOTS} SELECT url, {STATUS.format(c='status_code')} AS status_text, content_type FROM curr",
-    "report_csv": DIFF + "SELECT type, url, previous, current FROM changes",
+    "crawl_seeded": f"""WITH RECURSIVE graph AS ({fx.GRAPH}),
+ edges AS (SELECT CASE WHEN src = 4 THEN unnest([3, 4]) ELSE src END AS src, dst FROM graph WHERE src NOT IN (3, 6)),
+ open AS (SELECT * FROM edges WHERE dst NOT IN (0, 5)),
+ walk(node, depth) AS (SELECT unnest([0, 2, 9])::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN open e ON e.src = w.node WHERE w.depth < 60),
+ near AS (SELECT node, min(depth) AS depth, 'https://e.test/n/' || node AS url FROM walk GROUP BY node),
+ found AS (SELECT n.url, coalesce((SELECT min(m.url) FROM open e JOIN near m ON m.node = e.src WHERE e.dst = n.node AND m.depth = n.depth - 1), '') AS parent_url,
+  CASE WHEN node = 6 THEN 302 WHEN (CASE WHEN node = 3 THEN 4 ELSE node END) IN (SELECT src FROM graph) THEN 200 ELSE 404 END AS status_code FROM near n
+  UNION ALL SELECT 'https://off.test/x', '', 404)
+ SELECT row_number() OVER (ORDER BY url) - 1 AS pos, url, parent_url, status_code, CASE status_code WHEN 200 THEN 'text/html; charset=utf-8' WHEN 302 THEN 'text/html' ELSE 'text/plain; charset=utf-8' END AS content_type,
+  CASE WHEN status_code = 404 THEN 'text' ELSE 'html' END AS resource_type FROM found""",
+    "sitemap_gzip": "SELECT * FROM (VALUES (0, '<urlset>\u00e9</urlset>'), (1, '<urlset/>'), (2, NULL), (3, NULL)) t(n, body)",
+    "snapshot_document": f"""WITH {SNAPSHOTS}, {TYPED} SELECT row_number() OVER (ORDER BY url) - 1 AS pos, url, parent_url, status_code, content_type, resource_type,
+ '{BASE}' AS base_url, epoch(TIMESTAMP '2024-05-01 12:00:00')::BIGINT AS crawled_at FROM typed""",
+    "snapshot_csv": f"WITH {SNAPSHOTS} SELECT (row_number() OVER (ORDER BY url) - 1)::INTEGER AS pos, url, {STATUS.format(c='status_code')} AS status_text, content_type FROM curr",
+    "changes_csv": DIFF
+    + """SELECT (row_number() OVER (PARTITION BY type ORDER BY url) - 1)::INTEGER AS pos, url, previous, current,
+ CASE type WHEN 'Added' THEN 'added.csv' WHEN 'Removed' THEN 'removed.csv' WHEN 'Status Change' THEN 'status_changes.csv' ELSE 'content_type_changes.csv' END AS file FROM changes""",
+    "report_csv": f"{DIFF}SELECT (row_number() OVER (ORDER BY {PLACE}, url) - 1)::INTEGER AS pos, type, url, previous, current FROM changes",
+    "diff_ordered": f"{DIFF}SELECT row_number() OVER (ORDER BY {PLACE}, url) - 1 AS pos, type, url, previous, current FROM changes",
+    "report_json": DIFF
+    + """SELECT CASE type WHEN 'Added' THEN 'added' WHEN 'Removed' THEN 'removed' WHEN 'Status Change' THEN 'status_changes' ELSE 'content_type_changes' END AS list,
+ (row_number() OVER (PARTITION BY type ORDER BY url) - 1)::INTEGER AS pos, url, CASE WHEN type LIKE '% Change' THEN previous END AS previous, CASE WHEN type LIKE '% Change' THEN current END AS current FROM changes""",
+    "report_text": f"""{DIFF}, sizes AS (SELECT t.*, (SELECT count(*) FROM changes c WHERE c.type = t.type) AS n
+  FROM (VALUES (1, 'Added', 'Added URLs', '+', 'Added:'), (2, 'Removed', 'Removed URLs', '-', 'Removed:'), (3, 'Status Change', 'Status Code Changes', '~', 'Status changes:'), (4, 'Content-Type Change', 'Content-Type Changes', '~', 'Content-Type changes:')) t(place, type, heading, sign, label)),
+ rows AS (
+  SELECT 0 AS part, i AS sub, '' AS url, l AS line FROM (VALUES (0, '=== Deployment Report ==='), (1, 'Base URL:   {BASE}'), (2, 'Previous:   2024-05-01T12:00:00Z'), (3, 'Current:    2024-05-02T12:00:00Z'), (4, ''), (5, 'Statistics:')) v(i, l)
+  UNION ALL SELECT 0, 6, '', '  ' || rpad('URLs (previous):', 23, ' ') || count(*) FROM prev UNION ALL SELECT 0, 7, '', '  ' || rpad('URLs (current):', 23, ' ') || count(*) FROM curr
+  UNION ALL SELECT 0, 7 + place, '', '  ' || rpad(label, 23, ' ') || n FROM sizes UNION ALL SELECT 0, 12, '', ''
+  UNION ALL SELECT place, 0, '', heading || ' (' || n || '):' FROM sizes UNION ALL SELECT place, 1, '', '  (none)' FROM sizes WHERE n = 0
+  UNION ALL SELECT s.place, 2, c.url, '  ' || s.sign || ' ' || c.url || CASE WHEN s.sign = '~' THEN '  ' || c.previous || ' -> ' || c.current ELSE '' END FROM changes c JOIN sizes s USING (type)
+  UNION ALL SELECT place, 3, '', '' FROM sizes)
+ SELECT (row_number() OVER (ORDER BY part, sub, url) - 1)::INTEGER AS pos, line FROM rows""",
+    "findings_text": f"""{ALL}, placed AS (SELECT *, row_number() OVER (ORDER BY section, CASE WHEN section = 0 THEN -severity END, CASE WHEN section < 2 THEN url END, CASE WHEN section = 0 THEN kind END,
+   CASE kind WHEN 'base_url_status' THEN 0 WHEN 'base_url_missing' THEN 1 WHEN 'low_page_count' THEN 2 WHEN 'excessive_unreachable' THEN 3 ELSE 4 END) AS place FROM found),
+ sizes AS (SELECT (SELECT count(*) FROM found WHERE severity = 1) AS e, (SELECT count(*) FROM found WHERE severity = 0) AS w),
+ rows AS (
+  SELECT -1 AS part, 0 AS place, 0 AS sub, 'Snapshot Validation' AS line UNION ALL SELECT -1, 0, 1, ''
+  UNION ALL SELECT 0, 0, 0, 'Errors (' || e || ')' FROM sizes UNION ALL SELECT 0, 0, 1, 'No errors found.' FROM sizes WHERE e = 0
+  UNION ALL SELECT 1, 0, 0, 'Warnings (' || w || ')' FROM sizes UNION ALL SELECT 1, 0, 1, 'No warnings found.' FROM sizes WHERE w = 0
+  UNION ALL SELECT 1 - severity, place, 0, '[' || kind || '] ' || url FROM placed UNION ALL SELECT 1 - severity, place, 1, '  ' || detail FROM placed
+  UNION ALL SELECT 1 - severity, place, 2, '  Found from: ' || replace(parents, '|', ', ') FROM placed WHERE section = 1 OR kind = 'template_placeholder'
+  UNION ALL SELECT unnest([0, 1]), 1000000000, 0, ''
+  UNION ALL SELECT 2, 0, 0, 'Summary' UNION ALL SELECT 2, 0, 1, '  Warnings: ' || w FROM sizes UNION ALL SELECT 2, 0, 2, '  Errors: ' || e FROM sizes
+  UNION ALL SELECT 2, 0, 3, CASE WHEN e > 0 THEN '\u2717 Snapshot validation failed.' ELSE '\u2713 Snapshot validation passed.' END FROM sizes)
+ SELECT (row_number() OVER (ORDER BY part, place, sub) - 1)::INTEGER AS pos, line FROM rows""",
+    "duplicates_text": f"""WITH {GROUPS}, seen AS (SELECT k.*, g.canonical, g.reason, g.severity FROM keyed k JOIN groups g USING (dup_key)),
+ sizes AS (SELECT s.severity, s.word, s.part, count(g.dup_key) AS g, coalesce(sum(g.n_variants), 0)::BIGINT AS u FROM (VALUES (1, 'error', 0), (0, 'warning', 1)) s(severity, word, part) LEFT JOIN groups g ON g.severity = s.severity GROUP BY ALL),
+ rows AS (
+  SELECT -1 AS part, '' AS canonical, 0 AS sub, 0 AS pos, 0 AS nth, 'Duplicate URL Report' AS line UNION ALL SELECT -1, '', 1, 0, 0, ''
+  UNION ALL SELECT part, '', 0, 0, 0, upper(word[1]) || word[2:] || 's (' || g || ')' FROM sizes UNION ALL SELECT part, '', 1, 0, 0, 'No ' || word || 's found.' FROM sizes WHERE g = 0
+  UNION ALL SELECT 1 - severity, canonical, i, 0, 0, CASE i WHEN 0 THEN CASE severity WHEN 1 THEN '[error] ' ELSE '[warning] ' END || canonical WHEN 1 THEN 'Canonical:' WHEN 2 THEN canonical WHEN 3 THEN 'Reason:' WHEN 4 THEN reason WHEN 5 THEN 'Variants:' ELSE '' END
+   FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5, 7]) AS i FROM groups)
+  UNION ALL SELECT 1 - severity, canonical, 6, pos, i, CASE i WHEN 0 THEN '  \u2022 ' || url WHEN 1 THEN '    Parent: /' WHEN 2 THEN '    Status: ' || status_code ELSE '    Content-Type: ' || content_type END FROM (SELECT *, unnest([0, 1, 2, 3]) AS i FROM seen)
+  UNION ALL SELECT part, chr(1114111), 0, 0, 0, '' FROM sizes
+  UNION ALL SELECT 2, '', 0, 0, 0, 'Summary' UNION ALL SELECT 2, '', 1 + part, 0, 0, '  ' || upper(word[1]) || word[2:] || 's: ' || g || ' (groups), ' || u || ' (urls)' FROM sizes)
+ SELECT (row_number() OVER (ORDER BY part, canonical, sub, pos, nth) - 1)::INTEGER AS pos, line FROM rows""",
+    "findings_ordered": f"""WITH {ODD}, named AS (SELECT * FROM odd WHERE url <> ''), {STRUCTURE.format(t="named")}, {sanity("named", BASE, "3")}, found AS (SELECT * FROM structure UNION ALL SELECT * FROM sanity)
+ SELECT row_number() OVER (ORDER BY section, CASE WHEN section = 0 THEN -severity END, CASE WHEN section < 2 THEN url END, CASE WHEN section = 0 THEN kind END,
+  CASE kind WHEN 'base_url_status' THEN 0 WHEN 'base_url_missing' THEN 1 WHEN 'low_page_count' THEN 2 WHEN 'excessive_unreachable' THEN 3 ELSE 4 END) - 1 AS pos, section, url, kind, severity FROM found""",
+    "dup_by_severity": f"WITH {GROUPS} SELECT severity, row_number() OVER (PARTITION BY severity ORDER BY canonical) - 1 AS pos, canonical FROM groups",
+    "findings_by_severity": f"WITH {ODD}, {STRUCTURE.format(t='odd')} SELECT CASE severity WHEN 1 THEN 'errors' ELSE 'warnings' END AS part, url, kind FROM structure",
+    "validate_whole": f"""WITH {SNAPSHOTS}, {TYPED}, first AS (SELECT min(url) AS url FROM curr), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE pos % 3 <> 0) AS bad FROM curr)
+ SELECT 'empty' AS "case", * FROM (VALUES (0, '', 'empty_snapshot', 1, 'snapshot contains no pages (corrupted or empty structure)', ''),
+  (2, '{BASE}', 'base_url_missing', 0, 'base URL was not found among the crawled pages', ''), (2, '{BASE}', 'low_page_count', 0, 'crawl produced only 0 pages; possible incomplete crawl', '')) v(section, url, kind, severity, detail, parents)
+ UNION ALL SELECT 'no base', 0, '', 'missing_base_url', 1, 'snapshot is missing its base URL', ''
+ UNION ALL SELECT 'base fails', 2, url, 'base_url_status', 0, 'base URL returned HTTP 500 (expected 200)', '' FROM first
+ UNION ALL SELECT 'base fails', 2, url, 'excessive_unreachable', 0, n || ' of ' || n || ' pages were unreachable (status 0 or >=400)', '' FROM first, n
+ UNION ALL SELECT 'down', 2, 'https://nowhere.test', 'base_url_missing', 0, 'base URL was not found among the crawled pages', ''
+ UNION ALL SELECT 'down', 2, 'https://nowhere.test', 'excessive_unreachable', 0, bad || ' of ' || n || ' pages were unreachable (status 0 or >=400)', '' FROM n""",
+    "sanity_by_site": f"""WITH {SNAPSHOTS}, sites AS (SELECT {of(SCHEME)} || '://' || {of(HOST)} AS site, min(url) AS base_url, 2 * count(*) AS p FROM prev GROUP BY ALL),
+ counts AS (SELECT {of(SCHEME)} || '://' || {of(HOST)} AS site, count(*) AS n, count(*) FILTER (WHERE status_code = 0 OR status_code >= 400) AS bad FROM curr GROUP BY ALL),
+ judged AS (SELECT s.*, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, b.url AS found, b.status_code FROM sites s LEFT JOIN counts c USING (site)
+  LEFT JOIN curr b ON b.url = s.base_url OR b.url = CASE WHEN s.base_url LIKE '%/' THEN rtrim(s.base_url, '/') ELSE s.base_url || '/' END
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY b.pos) = 1)
+ SELECT site, found AS url, 'base_url_status' AS kind, 0 AS severity, 'base URL returned HTTP ' || status_code || ' (expected 200)' AS detail FROM judged WHERE status_code <> 200
+ UNION ALL SELECT site, base_url, 'base_url_missing', 0, 'base URL was not found among the crawled pages' FROM judged WHERE found IS NULL
+ UNION ALL SELECT site, base_url, 'low_page_count', 0, 'crawl produced only ' || n || ' pages; possible incomplete crawl' FROM judged WHERE n < 3
+ UNION ALL SELECT site, base_url, 'excessive_unreachable', 0, bad || ' of ' || n || ' pages were unreachable (status 0 or >=400)' FROM judged WHERE n > 0 AND bad > 0.5 * n
+ UNION ALL SELECT site, base_url, 'page_count_drop', 0, 'current crawl contains significantly fewer pages than the previous snapshot (previous: ' || p || ', current: ' || n || '); possible incomplete crawl' FROM judged WHERE p > 0 AND n < 0.5 * p""",
+    "stream_changes": DIFF + "SELECT 0::BIGINT AS batch, 'Added' AS type, url, '' AS previous, '' AS current FROM prev UNION ALL SELECT 1, * FROM changes",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from crawlloom.operators import crawl, diff, duplicates, validation
 from crawlloom.plans import report
+from crawlloom.scratch import written
 from crawlloom.sources import export, http, snapshots
 
 VERSION = "1.0.0"
@@ -81,15 +82,15 @@ def _run(spark: SparkSession, args: argparse.Namespace, temp: str) -> None:
     progress = None if args.quiet else lambda done, queued: print(f"\rCrawled {done}, queued {queued}", end="", file=sys.stderr)
     listed = http.discover(spark, args.base_url, args.timeout)
     fetch = http.fetcher(args.base_url, args.workers, args.timeout)
-    current = crawl.kept(crawl.crawl(spark, args.base_url, fetch, listed, args.exclude, progress=progress), "pages")
+    current = written(crawl.crawl(spark, args.base_url, fetch, listed, args.exclude, progress=progress), "pages")
     at, n = datetime.now(UTC), current.count()
     say(f"\nCrawled {n} URLs in {time.time() - began:.3f}s\n")
     previous = None
     if snapshots.exists(args.snapshot):
         meta, previous = snapshots.load(spark, args.snapshot)
-        previous = crawl.kept(previous, "previous")
+        previous = written(previous, "previous")
     findings = validation.validate(current, args.base_url, previous.count() if previous is not None else 0, args.strict, duplicates.groups(current))
-    findings = crawl.kept(findings, "findings")
+    findings = written(findings, "findings")
     for line in report.finding_lines(findings):
         say(line)
     if failed := validation.errors(findings).count():
@@ -101,13 +102,13 @@ def _run(spark: SparkSession, args: argparse.Namespace, temp: str) -> None:
         snapshots.atomic_replace(temp, args.snapshot)
         say(f"Baseline snapshot saved to {args.snapshot} ({n} URLs).")
         return
-    changes = crawl.kept(diff.changes(previous, current), "changes")
+    changes = written(diff.changes(previous, current), "changes")
     if args.csv:
         export.export_changes(changes, args.csv)
     if args.json:
         print(report.diff_json(changes))
     else:
-        stats = diff.statistics(previous, current, changes).first().asDict()
+        stats = diff.statistics(previous, current).first().asDict()
         for line in report.diff_lines(changes, stats, args.base_url, stamp(meta.first()["crawled_at"]), stamp(at)):
             print(line)
     if not args.no_replace:

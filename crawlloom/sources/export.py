@@ -1,10 +1,9 @@
-"""CSV files with given names, written by Spark and moved into place."""
+"""CSV files with given names on the driver's disk."""
 
 from __future__ import annotations
 
-import glob
+import csv
 import os
-import shutil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +13,22 @@ from crawlloom.operators import diff
 
 #: File names and their change types.
 FILES = {"added.csv": diff.ADDED, "removed.csv": diff.REMOVED, "status_changes.csv": diff.STATUS, "content_type_changes.csv": diff.CONTENT_TYPE}
-OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def one_csv(df: DataFrame, path: str) -> None:
-    """A single CSV file with a header; its folder is made if missing."""
+    """A single CSV file with a header; its folder is made if missing.
+
+    The rows are streamed to the driver, partition after partition, so the file doesn't depend on a
+    folder that executors and driver share. It appears under its name when it is whole.
+    """
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    folder = f"{path}.parts"
-    shutil.rmtree(folder, ignore_errors=True)
-    df.coalesce(1).write.options(**OPTIONS).csv(folder)
-    parts = glob.glob(f"{folder}/part-*.csv")
-    if parts:
-        os.replace(parts[0], path)
-    else:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(",".join(df.columns) + "\n")
-    shutil.rmtree(folder)
+    temp = f"{path}.tmp"
+    with open(temp, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(df.columns)
+        for row in df.toLocalIterator():
+            out.writerow(["" if x is None else x for x in row])
+    os.replace(temp, path)
 
 
 def named(rows: DataFrame, *columns: str) -> DataFrame:

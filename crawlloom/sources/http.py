@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import gzip
+import http.client
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlloom.sources.sitemaps import MAGIC, gunzipped
+
 MAX_REDIRECTS = 10
 AGENT = "crawlloom/1.0"
 
@@ -22,28 +24,41 @@ class _Stay(urllib.request.HTTPRedirectHandler):
         return None
 
 
-def get(url: str, timeout: float, agent: str, host: str | None = None) -> tuple[int, str, bytes, str]:
-    """Status, content type, body and content encoding; status 0 if unreachable.
+def asked(url: str) -> str:
+    """The URL as it goes into a request: blanks and what isn't ASCII are percent-encoded, a host's letters by IDNA."""
+    scheme, authority, path, query, _ = urlsplit(url)
+    if not authority.isascii():
+        user, at, host = authority.rpartition("@")
+        authority = quote(user, safe="%:!$&'()*+,;=") + at + host.encode("idna").decode("ascii")
+    keep = "%/:=&?~+!$,;'@()*[]|{}^`\"\\<>"
+    return urlunsplit((scheme, authority, quote(path, safe=keep), quote(query, safe=keep), ""))
+
+
+def get(url: str, timeout: float, agent: str, host: str | None = None, wanted: str = "") -> tuple[int, str, bytes, str]:
+    """Status, content type, body and content encoding; status 0 if unreachable, whatever goes wrong.
 
-    Redirects are followed while they stay on host, at most MAX_REDIRECTS; one that leaves is the answer.
+    Redirects are followed while they stay on host, at most MAX_REDIRECTS; one that leaves is the answer. A body is
+    read only if its content type begins with wanted.
     """
     opener = urllib.request.build_opener(_Stay)
-    host = (host or urlsplit(url).netloc).lower()
-    at = url
+    at, home = url, (host or "").lower()
     for _ in range(MAX_REDIRECTS + 1):
         try:
+            home = home or urlsplit(url).netloc.lower()
             try:
-                answer = opener.open(urllib.request.Request(at, headers={"User-Agent": agent}), timeout=timeout)
+                answer = opener.open(urllib.request.Request(asked(at), headers={"User-Agent": agent}), timeout=timeout)
             except urllib.error.HTTPError as e:
                 answer = e
             with answer:
                 status, headers = answer.status or answer.code, answer.headers
                 to = headers.get("Location") if status in (301, 302, 303, 307, 308) else None
-                if to and urlsplit(urljoin(at, to)).netloc.lower() == host:
+                if to and urlsplit(urljoin(at, to)).netloc.lower() == home:
                     at = urljoin(at, to)
                     continue
-                return status, headers.get("Content-Type") or "", answer.read(), headers.get("Content-Encoding") or ""
-        except (OSError, ValueError, urllib.error.URLError):
+                kind = headers.get("Content-Type") or ""
+                body = answer.read() if kind.lower().startswith(wanted) else b""
+                return status, kind, body, headers.get("Content-Encoding") or ""
+        except (OSError, ValueError, http.client.HTTPException):
             return 0, "", b"", ""
     return 0, "", b"", ""
 
@@ -51,7 +66,7 @@ def get(url: str, timeout: float, agent: str, host: str | None = None) -> tuple[
 def fetcher(base_url: str, workers: int = 50, timeout: float = 30.0, agent: str = AGENT):
     """A fetcher for crawl(): at most workers requests at a time over all tasks.
 
-    Bodies of other types than HTML aren't read into rows. A task that runs again fetches again.
+    Bodies of other types than HTML aren't read. A task that runs again fetches again.
     """
     workers = max(1, workers)
     timeout = timeout if timeout > 0 else 30.0
@@ -66,7 +81,7 @@ def fetcher(base_url: str, workers: int = 50, timeout: float = 30.0, agent: str
                 for pdf in it:
                     for lo in range(0, len(pdf), 256):
                         part = pdf.iloc[lo : lo + 256]
-                        got = list(pool.map(lambda u: get(u, timeout, agent, host), part["url"]))
+                        got = list(pool.map(lambda u: get(u, timeout, agent, host, "text/html"), part["url"]))
                         html = [t.lower().startswith("text/html") for _, t, _, _ in got]
                         yield pd.DataFrame(
                             {"url": part["url"].values, "parent_url": part["parent_url"].values, "status_code": [g[0] for g in got], "content_type": [g[1] for g in got], "body": [g[2].decode("utf-8", "replace") if h else "" for g, h in zip(got, html, strict=True)]}
@@ -87,10 +102,9 @@ def sitemap_fetcher(timeout: float = 30.0, agent: str = AGENT):
                 for u in pdf["url"]:
                     status, _, body, encoding = get(u, timeout, agent)
                     if status == 200 and (u.endswith(".gz") or "gzip" in encoding.lower()):
-                        try:
-                            body = gzip.decompress(body)
-                        except OSError:
-                            status = 0
+                        body = gunzipped(body) if body[:2] == MAGIC else None
+                        if body is None:
+                            status, body = 0, b""
                     rows.append((u, status, body.decode("utf-8", "replace")))
                 yield pd.DataFrame(rows, columns=["url", "status_code", "body"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from crawlloom.functions import urls
 from crawlloom.functions.urls import trim
+from crawlloom.scratch import Growing, forget, written
 
 URLSET = "url ARRAY<STRUCT<loc: STRING>>"
 INDEX = "sitemap ARRAY<STRUCT<loc: STRING>>"
 #: A name with or without a namespace prefix, after the prolog, comments and a doctype.
 ROOT = r"(?s)^\s*(?:\x{FEFF})?(?:\s*<\?.*?\?>|\s*<!--.*?-->|\s*<!DOCTYPE[^>]*>)*\s*<(?:[\w.\-]+:)?([\w.\-]+)"
+#: How gzip begins.
+MAGIC = b"\x1f\x8b"
 OPTIONS = {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true"}
 
 
@@ -38,11 +42,22 @@ def root_name(body: Column) -> Column:
     return F.regexp_extract(body, ROOT, 1)
 
 
+def gunzipped(data: bytes) -> bytes | None:
+    """The data, decompressed if it is gzip; None if that is broken or cut off."""
+    if data[:2] != MAGIC:
+        return data
+    try:
+        return gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        return None
+
+
 def gunzip(df: DataFrame, body: str = "body", column: str = "content") -> DataFrame:
-    """df with the text of a binary column, decompressed where it is gzip."""
+    """df with the text of a binary column, decompressed where it is gzip; null where that is broken."""
+
     @F.pandas_udf("string")
     def text(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else (gzip.decompress(b) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
+        return raw.map(lambda b: None if b is None or (plain := gunzipped(bytes(b))) is None else plain.decode("utf-8", "replace"))
 
     return df.withColumn(body, text(F.col(column)))
 
@@ -54,30 +69,32 @@ def parse(sitemaps: DataFrame, root: str, schema: str, field: str) -> DataFrame:
     return rows.select("url", F.posexplode(parsed[field]).alias("ord", "x")).select("url", "ord", F.col("x.loc").alias("loc")).where("loc is not null and loc <> ''")
 
 
-def sitemap_urls(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> DataFrame:
+def sitemap_urls(start: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(url) of all pages in the sitemaps start (url) and in those that sitemap indexes list, each once.
 
     fetch takes (url) and returns (url, status_code, body). 404 is an empty sitemap, any other status but 200 makes all of them count as
     nothing, as does a sitemap that isn't XML where XML has begun. What has another root, such as a page of HTML, is ignored.
+    Indexes may be nested to any depth; each sitemap is fetched once.
     """
-    from crawlloom.operators.crawl import kept
-
-    frontier = kept(start.select("url").distinct(), "sitemaps")
-    visited, pages = frontier, None
-    for _ in range(max_rounds):
-        got = kept(fetch(frontier).select("url", "status_code", "body"), "sitemap-bodies")
+    frontier = written(start.select("url").distinct(), "sitemaps")
+    visited, pages = Growing(frontier, "sitemaps-visited"), None
+    while True:
+        got = written(fetch(frontier).select("url", "status_code", "body"), "sitemap-bodies")
         wrong = got.where(~F.col("status_code").isin(200, 404) | ((F.col("status_code") == 200) & malformed(F.col("body"))))
         if not wrong.isEmpty():
             return start.select("url").limit(0)
         good = got.where("status_code = 200")
         found = parse(good, "urlset", URLSET, "url").select(F.col("loc").alias("url"))
-        pages = found if pages is None else pages.unionByName(found)
+        if pages is None:
+            pages = Growing(found, "sitemap-pages")
+        else:
+            pages.add(found)
         listed = parse(good, "sitemapindex", INDEX, "sitemap").select(F.col("loc").alias("url")).distinct()
-        frontier = kept(listed.join(visited, "url", "left_anti"), "sitemaps")
+        frontier = written(listed.join(visited.rows(), "url", "left_anti"), "sitemaps")
+        forget(got)
         if frontier.isEmpty():
-            return pages.distinct()
-        visited = visited.unionByName(frontier)
-    raise RuntimeError(f"sitemap indexes are nested more than {max_rounds} deep")
+            return pages.rows().distinct()
+        visited.add(frontier)
 
 
 def malformed(body: Column) -> Column:

@@ -21,7 +21,9 @@ def walk(spark, site, base=SITE, **kw):
     rows = [(SITE + p, v if isinstance(v, str) else v[0], "text/html" if isinstance(v, str) else v[1]) for p, v in site.items()]
     stored = spark.createDataFrame(rows, "url string, body string, content_type string")
     redirects = kw.pop("redirects", None)
-    return {r["url"].removeprefix(SITE): r for r in crawl.crawl(spark, base, crawl.replay(stored, redirects), **kw).collect()}
+    rows = crawl.crawl(spark, base, crawl.replay(stored, redirects), **kw).collect()
+    assert crawl.recorded(spark, base, stored, redirects, **kw).collect() == rows
+    return {r["url"].removeprefix(SITE): r for r in rows}
 
 
 def a(*hrefs):
@@ -63,6 +65,25 @@ def test_reach(spark):
     assert got == {0: (0, None), 1: (1, 0), 2: (1, 0), 5: (2, 1)}
 
 
+def test_reach_of_long_chains(spark):
+    """No depth is too deep, and both ways of going on find the same."""
+    chain = spark.range(3000).selectExpr("id as src", "id + 1 as dst")
+    deep = crawl.reach(chain, spark.range(1).selectExpr("id as node"))
+    assert deep.agg(F.max("depth"), F.count("*")).first() == (3000, 3001)
+    names = spark.createDataFrame([("a", "b"), ("\u00e9", "c"), ("b", "\u00e9"), ("b", "z"), ("z", "c"), ("c", "a"), (None, "q"), ("a", None), ("a", "b")], "src string, dst string")
+    start = spark.createDataFrame([("a",), ("a",), (None,)], "node string")
+    want = [("a", 0, None), ("b", 1, "a"), ("c", 3, "z"), ("z", 2, "b"), ("\u00e9", 2, "b")]
+    for few in (0, 3, 100):
+        assert sorted(tuple(r) for r in crawl.reach(names, start, few).collect()) == want
+    assert crawl.reach(names.limit(0), start).count() == 1 and crawl.reach(names, start.limit(0)).count() == 0
+
+
+def test_crawl_without_round_limit(spark):
+    site = {f"/{i or ''}": a(f"/{i + 1}") for i in range(12)}
+    got = walk(spark, site)
+    assert len(got) == 13 and got["/12"]["parent_url"] == SITE + "/11" and got["/12"]["status_code"] == 404
+
+
 NS = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
@@ -95,6 +116,8 @@ def test_robots(spark):
 def test_gunzip(spark):
     df = spark.createDataFrame([(gzip.compress("é".encode()),), (b"plain",), (None,)], "content binary")
     assert [r["body"] for r in sitemaps.gunzip(df).collect()] == ["é", "plain", None]
+    cut = spark.createDataFrame([(gzip.compress(b"x" * 999)[:-9],), (b"\x1f\x8bjunk",)], "content binary")
+    assert [r["body"] for r in sitemaps.gunzip(cut).collect()] == [None, None]
 
 
 @pytest.fixture
@@ -138,6 +161,43 @@ def test_http(spark, server):
     assert server.hits.count("/x.pdf") == 1 and "tester" in server.seen
 
 
+def test_http_faults(server):
+    """Whatever a server or a link does is an answer, not the end of the crawl."""
+    server.pages |= {"/?q=a%20b": (200, "text/html", "blank"), "/%C3%A9?q=%C3%BC": (200, "text/html", "letters"), "/film": (200, "video/mp4", b"x" * 100)}
+    get = lambda path, **kw: web.get(server.base + path, 5, "t", **kw)
+    assert get("/?q=a b")[::2] == (200, b"blank") and get("/é?q=ü")[::2] == (200, b"letters")
+    assert get("/film", wanted="text/html")[:3] == (200, "video/mp4", b"") and len(get("/film")[2]) == 100
+    assert web.asked("http://bücher.test/ä%20b?x={1}#f") == "http://xn--bcher-kva.test/%C3%A4%20b?x={1}"
+    for bad in ("http://127.0.0.1:1/", "http://[::1/", "http://a b.test/", "http://x\n.test/", "nothing", "http://" + "a" * 80 + "é.test/"):
+        assert web.get(bad, 1, "t") == (0, "", b"", "")
+
+
+def test_body_cut_off(spark):
+    """A body shorter than announced is unreachable; a broken gzip sitemap ends discovery."""
+    import socket
+
+    s = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        while True:
+            try:
+                c, _ = s.accept()
+            except OSError:
+                return
+            asked = c.recv(4096)
+            body = gzip.compress(b"<urlset></urlset>" * 50)[:-12] if b".gz" in asked else b"half"
+            length = len(body) if b".gz" in asked else 400
+            c.sendall(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % length + body)
+            c.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    base = f"http://127.0.0.1:{s.getsockname()[1]}"
+    assert web.get(base + "/", 5, "t")[0] == 0
+    df = spark.createDataFrame([(base + "/m.xml.gz",)], "url string")
+    assert [tuple(r) for r in web.sitemap_fetcher(5)(df).collect()] == [(base + "/m.xml.gz", 0, "")]
+    s.close()
+
+
 def test_run(spark, server, tmp_path, capsys):
     html = "text/html"
     server.pages |= {"/": (200, html, a("/a", "/b")), "/a": (200, html, ""), "/b": (200, html, ""), "/robots.txt": (404, "text/plain", "")}

@@ -64,20 +64,34 @@ def grouped(spark, *rows):
     return {r["canonical"]: r for r in duplicates.groups(pages(spark, *rows)).collect()}
 
 
-def test_duplicates(spark):
-    got = grouped(spark, ("https://e.com/a",), ("https://e.com/a",))["https://e.com/a"]
-    assert (got["severity"], got["n_variants"], got["reason"]) == (1, 2, "Exact duplicate URL entries")
-    got = grouped(spark, ("https://e.com/about/", 200, HTML, "https://e.com/x"), ("https://e.com/about", 404))["https://e.com/about"]
-    assert (got["severity"], got["reason"]) == (0, "Trailing slash variant")
-    assert [(v["url"], v["parent_url"], v["status_code"]) for v in got["variants"]] == [("https://e.com/about/", "https://e.com/x", 200), ("https://e.com/about", "", 404)]
-    assert len(grouped(spark, ("https://e.com/blog",), ("https://e.com/blog#top",))) == 1
-    assert grouped(spark, ("https://e.com/x",), ("https://e.com/x",), ("https://e.com/x",))["https://e.com/x"]["n_variants"] == 3
-    assert grouped(spark, ("https://e.com/a",), ("https://e.com/b",), ("https://e.com/a?x=1",)) == {}
-    # a tie goes to the more telling reason
-    assert grouped(spark, ("https://e.com/",), ("https://e.com/#x",))["https://e.com/"]["reason"] == "URLs differing only by fragments"
-    assert grouped(spark, ("https://E.com/p",), ("https://e.com/p",))["https://E.com/p"]["reason"] == "Trailing slash variant"
-    s = duplicates.summary(duplicates.groups(pages(spark, ("https://e.com/a",), ("https://e.com/a",), ("https://e.com/b",), ("https://e.com/b/",)))).collect()
-    assert {(r["severity"], r["n_groups"], r["n_urls"]) for r in s} == {(1, 1, 2), (0, 1, 2)}
+def test_duplicates_of_each_kind(spark):
+    shop = "http://shop.test"
+    rows = [
+        (shop + "/cart/", 404, "", shop + "/menu"), ("HTTP://Shop.test/sale",), (shop + "/help#phone",), (shop + "/cart",), (shop + "/lone",), (shop + "/sale",),
+        (shop + "/deal?x=1#a",), (shop + "/faq",), (shop + "/help",), (shop + "/faq",), (shop + "/deal/?x=1",), (shop + "/faq",), (shop + "/lone?p=2",), (shop + "/cart",),
+    ]
+    got = grouped(spark, *rows)
+    assert {k.removeprefix(shop): (r["severity"], r["n_variants"]) for k, r in got.items()} == {"/cart": (0, 3), "HTTP://Shop.test/sale": (0, 2), "/help#phone": (0, 2), "/deal?x=1#a": (0, 2), "/faq": (1, 3)}
+    assert [(v["url"].removeprefix(shop), v["parent_url"], v["status_code"], v["content_type"]) for v in got[shop + "/cart"]["variants"]] == [("/cart/", shop + "/menu", 404, ""), ("/cart", "", 200, HTML), ("/cart", "", 200, HTML)]
+    assert got[shop + "/faq"]["reason"] == "Exact duplicate URL entries" and got[shop + "/cart"]["reason"] == "Trailing slash variant"
+    sums = duplicates.summary(duplicates.groups(pages(spark, *rows))).collect()
+    assert {(r["severity"], r["n_groups"], r["n_urls"]) for r in sums} == {(1, 1, 3), (0, 4, 9)}
+    # at the root a tie goes to the more telling reason
+    assert [r["reason"] for r in grouped(spark, (shop + "/",), (shop + "/#news",)).values()] == ["URLs differing only by fragments"]
+
+
+def test_duplicates_follow_the_key(spark):
+    """Rows are in one group if and only if their keys are equal."""
+    import random
+
+    rng = random.Random(3)
+    made = [(f"{rng.choice(['http', 'HTTP'])}://{rng.choice(['a.test', 'A.test'])}/{rng.randint(1, 4)}{rng.choice(['', '/'])}{rng.choice(['', '?q=1'])}{rng.choice(['', '#f'])}",) for _ in range(60)]
+    want: dict = {}
+    for (u,) in made:
+        path, _, q = u.lower().partition("#")[0].partition("?")
+        want.setdefault((path.removesuffix("/"), q), []).append(u)
+    got = {tuple(v["url"] for v in r["variants"]) for r in grouped(spark, *made).values()}
+    assert got == {tuple(v) for v in want.values() if len(v) > 1}
 
 
 def kinds(found):
@@ -87,19 +101,19 @@ def kinds(found):
 @pytest.mark.parametrize(
     "row, want",
     [
-        (("https://e.com/",), []),
-        (("", 0, ""), [("empty_url", 1)]),
-        (("not-a-url",), [("invalid_url", 1)]),
-        (("ftp://e.com/x",), [("invalid_url", 1)]),
-        (("https://e.com/x", 0), [("missing_status", 1)]),
-        (("https://e.com/x", 200, " \n"), [("missing_content_type", 1)]),
-        (("https://e.com/x", 200, HTML, "", "bogus"), [("invalid_resource_type", 1)]),
-        (("https://e.com/{item.link}", 200, HTML, "https://e.com/"), [("template_placeholder", 0)]),
-        (("https://e.com/x", 200, HTML, "", ""), []),
+        (("http://shop.test/cart?x=1",), []),
+        (("", 0, "", "", "junk"), [("empty_url", 1)]),
+        (("shop.test/cart",), [("invalid_url", 1)]),
+        (("sftp://shop.test/cart",), [("invalid_url", 1)]),
+        (("http:///cart",), [("invalid_url", 1)]),
+        (("http://shop.test/cart", 0, "\t"), [("missing_content_type", 1), ("missing_status", 1)]),
+        (("http://shop.test/cart", 301, HTML, "", "movie"), [("invalid_resource_type", 1)]),
+        (("http://shop.test/{{id}}", 200, HTML, "http://shop.test/"), [("template_placeholder", 0)]),
+        (("http://shop.test/cart", 200, HTML, "", ""), []),
     ],
 )
 def test_structure(spark, row, want):
-    assert kinds(validation.structural(pages(spark, row), "https://e.com")) == want
+    assert kinds(validation.structural(pages(spark, row), "http://shop.test")) == want
 
 
 def test_structure_of_the_whole(spark):
@@ -212,6 +226,13 @@ def test_lock_and_replace(tmp_path):
     assert snapshots.cleanup_temp(path) == snapshots.temp_file(path)
 
 
+def test_csv_needs_no_shared_folder(spark, tmp_path, monkeypatch):
+    """Executors write no file: the rows reach the driver through Spark alone."""
+    monkeypatch.setattr(export.DataFrame, "write", property(lambda df: (_ for _ in ()).throw(AssertionError("written by executors"))))
+    export.export_snapshot(pages(spark, *[(f"u{i:03}",) for i in range(200)]).repartition(7), str(tmp_path / "s.csv"))
+    assert [r[0] for r in csv.reader(open(tmp_path / "s.csv"))] == ["URL", *[f"u{i:03}" for i in range(200)]]
+
+
 def test_csv(spark, tmp_path):
     prev, curr = both(spark)
     rows = diff.changes(prev, curr)
@@ -223,6 +244,9 @@ def test_csv(spark, tmp_path):
     assert read(tmp_path / "r.csv")[:2] == [["Type", "URL", "Previous", "Current"], ["Added", "/new", "", ""]]
     export.export_snapshot(pages(spark, ('https://e.com/"a",b', 0, "")), str(tmp_path / "s.csv"))
     assert read(tmp_path / "s.csv") == [["URL", "Status Code", "Content Type"], ['https://e.com/"a",b', "unreachable", ""]]
+    blank = pages(spark, ("line\nbreak", 200, ' "quoted", '), ("\u00fc", 0, "x"))
+    export.export_snapshot(blank, str(tmp_path / "odd.csv"))
+    assert read(tmp_path / "odd.csv")[1:] == [["line\nbreak", "200", ' "quoted", '], ["\u00fc", "unreachable", "x"]]
     export.export_changes(rows.limit(0), str(tmp_path / "none"))
     assert read(tmp_path / "none" / "removed.csv") == [["URL"]]
     assert sorted(os.listdir(tmp_path / "none")) == sorted(export.FILES)
