@@ -1,46 +1,18 @@
-"""What the operators share: scratch tables in the shared folder, row keys, tables."""
+"""What the operators share: row keys, tables, and the scratch tables of the library."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no folder of its own, as in tests on one machine.
-LOCAL_SCRATCH = "/tmp/crawlloom-scratch"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from crawlloom.scratch import forget, scratch_dir, written
 
+__all__ = ["content_key", "forget", "scratch_dir", "shuffle_partitions", "table", "written"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{shared.rstrip('/')}/crawlloom-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again.
-
-    Cuts the lineage: a lost executor costs the reading of its files again, not
-    the work before them. Unlike checkpoint() the copy is columnar.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what written() has left; results that still read it become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def content_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlloom.llm.common import written
-
-ROUNDS = 60
+from crawlloom.llm.common import forget, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -28,18 +26,17 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has a link; component is its smallest node.
 
-    Every round is written to the shared folder; hubs are joined on, never gathered. Nothing
-    but two numbers a round comes to the driver.
+    Every round is written to the shared folder and the round before deleted; hubs are joined on, never gathered. Nothing
+    but two numbers a round comes to the driver. The rounds go on until one changes nothing; their number follows the
+    logarithm of the links.
     """
     links = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     links = written(links, "links")
     seen = None
-    for _ in range(ROUNDS):
-        links = written(small_star(large_star(links)), "links")
+    while True:
+        before, links = links, written(small_star(large_star(links)), "links")
+        forget(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
-            break
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = tuple(now)
-    else:
-        raise RuntimeError(f"the components are not settled after {ROUNDS} rounds")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
