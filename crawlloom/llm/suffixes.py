@@ -28,8 +28,8 @@ from crawlloom.llm.common import content_key, shuffle_partitions, written
 
 LENGTH = 200
 K = 48
-#: Bytes that multikey quicksort compares; what agrees further goes to blind tries.
-SHALLOW = 16
+#: Bytes beyond those that all strings of a group share which multikey quicksort compares; what agrees further goes to blind tries.
+SHALLOW = 8
 #: Bytes of a text whose hashes are computed at once.
 CHUNK = 1 << 18
 #: Anchors of a group that are sorted in one task at most; the strings of larger groups are counted one by one. A group
@@ -176,10 +176,11 @@ def blind_trie(strings: list[bytes], items: list[int], depth: int) -> list[int]:
     return out
 
 
-def deep_shallow(strings: list[bytes], items: list[int], shallow: int = SHALLOW) -> list[int]:
-    """The items in order of their strings."""
+def deep_shallow(strings: list[bytes], items: list[int], shared: int = 0, shallow: int = SHALLOW) -> list[int]:
+    """The items in order of their strings, which agree in their first shared bytes."""
     out: list[int] = []
-    stack = [(items, 0)]
+    stack = [(items, shared)]
+    shallow += shared
     while stack:
         part, depth = stack.pop()
         if len(part) < 2:
@@ -208,12 +209,12 @@ def deep_shallow(strings: list[bytes], items: list[int], shallow: int = SHALLOW)
 class Sorted:
     """Strings of several groups in sorted order, with the common prefix of each with the one before."""
 
-    def __init__(self, strings: list[bytes], groups: list[np.ndarray], width: int):
+    def __init__(self, strings: list[bytes], groups: list[np.ndarray], width: int, shared: int):
         order: list[int] = []
         heads = []
         for g in groups:
             heads.append(len(order))
-            order += deep_shallow(strings, g.tolist())
+            order += deep_shallow(strings, g.tolist(), shared)
         self.order = np.array(order, np.int64)
         self.sizes = np.array([len(s) for s in strings], np.int64)
         grid = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(-1, width)[self.order]
@@ -235,7 +236,7 @@ def spans(lefts: list[bytes], rights: list[bytes], times: np.ndarray, groups: li
     """For distinct contexts (mirrored bytes before, bytes from the anchor on) the least and the largest number
     of bytes before the anchor at which a recurring string starts; -1 where none does."""
     n, reach = len(lefts), length - k
-    right, left = Sorted(rights, groups, length), Sorted(lefts, groups, max(1, reach))
+    right, left = Sorted(rights, groups, length, k), Sorted(lefts, groups, max(1, reach), 0)
     least, most = np.full(n, -1), np.full(n, -1)
     for o in range(reach + 1):
         ok = np.flatnonzero((left.sizes >= o) & (right.sizes >= length - o))
@@ -292,8 +293,10 @@ def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
                 state = np.zeros(len(order), np.int8)
                 state[order] = np.where(np.repeat(count, count) > 1, 2, 0)
                 state[order[first[count > 1]]] = 1
-                spread = np.where(state == 2, at.astype(np.uint64) * np.uint64(2654435761) + around, mark) % np.uint64(parts)
                 own = [_int64(b.column(c).to_numpy()[row]) for c in (0, 1)]
+                # by row and place, so that copies of one passage go to different parts
+                salt = (own[1].to_numpy().view(np.uint64) ^ at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                spread = np.where(state == 2, salt, mark) % np.uint64(parts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(spread.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(around.view(np.int64)),
@@ -460,7 +463,8 @@ def counted(rows: DataFrame, length: int) -> DataFrame:
                 yield pos, key, at - o, xxhash.xxh3_128_intdigest(data[size - o : size - o + length], o)
 
     def again(found: DataFrame) -> DataFrame:
-        several = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+        # written, so that the join gets both sides by a shuffle that can split a frequent string
+        several = written(found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "several")
         return found.join(several, ["high", "low"], "left_semi")
 
     rows = written(rows, "large")
@@ -485,9 +489,9 @@ def dedup_strings(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str =
     Removed is each byte that a length-byte string covers which also starts anywhere else; strings don't
     cross texts, overlaps count, and strings are judged on the input. spans are the maximal removed runs.
     Null texts are empty. Repeated rows, ids and texts equal, are texts of their own and so remove each other, as any copies do; an empty
-    table gives an empty result. The largest long stands for a null doc_id inside and can't be a doc_id.
+    table gives an empty result.
     """
-    source = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    source = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"), F.col(doc_id).isNull().alias("unnamed"))
     marks = written(recurring(occurrences(source, length, k)), "marks")
     compared = marks.where("not done").drop("done")
     limit = min(GROUP, max(EVEN, UNEVEN * compared.count() // shuffle_partitions(df.sparkSession)))
@@ -503,7 +507,7 @@ def dedup_strings(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str =
     else:
         covered = matched(around(compared.join(large, "mark", "left_anti")), length, k).unionByName(counted(around(compared.join(large, "mark", "left_semi")), length))
     cover = done.unionByName(covered).groupBy("pos", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cover"))
-    joined = source.join(cover, ["pos", "key"], "left").select(F.when(F.col("pos") != LAST, F.col("pos")).alias("doc_id"), "key", "data", "cover")
+    joined = source.join(cover, ["pos", "key"], "left").select(F.when(~F.col("unnamed"), F.col("pos")).alias("doc_id"), "key", "data", "cover")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "spans", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]

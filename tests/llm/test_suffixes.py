@@ -42,9 +42,12 @@ def corpus(rng, n, alphabet):
 def test_sorting(shallow):
     rng = random.Random(shallow)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 12))) for _ in range(400)] + [b"a" * 40 + bytes([rng.randrange(3)]) * rng.randint(0, 5) for _ in range(200)]
-    got = suffixes.deep_shallow(strings, list(range(len(strings))), shallow)
+    got = suffixes.deep_shallow(strings, list(range(len(strings))), 0, shallow)
     assert sorted(got) == list(range(len(strings)))
     assert [strings[i] for i in got] == sorted(strings)
+    # what all share is not looked at, and multikey quicksort splits what comes after
+    same = [b"shared" + s for s in strings]
+    assert [same[i] for i in suffixes.deep_shallow(same, list(range(len(same))), 6, shallow)] == sorted(same)
 
 
 def test_equal_strings_have_equal_anchors(monkeypatch):
@@ -80,3 +83,22 @@ def test_long_text():
     data = bytes(np.random.default_rng(0).integers(0, 256, 2_000_000, dtype=np.uint8))
     n = len(suffixes.anchors(data)[0])
     assert 0.8 < n / (2 * len(data) / (suffixes.LENGTH - suffixes.K + 2)) < 1.2
+
+
+@pytest.mark.parametrize("group", [100_000, 2])
+def test_as_registered(spark, monkeypatch, group):
+    """200-byte strings and 48-byte anchors on long texts with copies, near copies and passages at equal and other places."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(group)
+    prose = lambda n: " ".join(rng.choice("oak elm ash fir yew bay ivy pine palm larch".split()) + str(rng.randrange(60)) for _ in range(n))
+    opening, passage = prose(60), prose(90)
+    texts = [opening + " " + prose(rng.randint(0, 120)) for _ in range(25)] + [prose(rng.randint(0, 80)) + passage[: rng.randint(150, 600)] + prose(40) for _ in range(25)]
+    texts += [texts[3], texts[3], texts[30], texts[7][:300] + "X" + texts[7][301:], "", "abc", passage[:199], passage[:200], ("na" * 150) + prose(5), "\u00e9" * 180]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = suffixes.dedup_strings(df).toPandas().sort_values("doc_id")
+    assert list(zip(got.kept_sha256, got.n_removed, got.n_spans, strict=True)) == [(hashlib.sha256(k).hexdigest(), n, m) for k, n, m in brute(texts, 200)]
+
+
+def test_largest_id(spark):
+    df = spark.createDataFrame([((1 << 63) - 1, "x" * 400), (None, "x" * 400), (1, "y")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffixes.dedup_strings(df).collect()) == [(0, 400), (1, 0), ((1 << 63) - 1, 400)]
