@@ -5,9 +5,9 @@ vectors, each rotated by the letter's place, are multiplied elementwise. A text
 bundles (adds) its n-grams' vectors, a language bundles its texts, and a text
 is compared with the languages' prototypes by cosine.
 
-Bundling is linear, so training only needs each language's n-gram counts (one
-aggregation with map-side combining), and a batch of texts is its count matrix
-times the vectors of the n-grams that occur in it.
+Bundling is linear, so a batch of texts is its count matrix times the vectors of the n-grams
+that occur in it, and a language's prototype is the sum of what the tasks have bundled. Every letter
+of any script has a vector of its own, made from its code point.
 """
 
 from __future__ import annotations
@@ -23,130 +23,144 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 N = 3
-#: Symbols a letter can have: 0 is the gap between words, the rest letters.
-SYMBOLS = 64
 DIMENSIONS = 1024
 SEED = 7
 #: Characters that are worked on at once, so that memory doesn't follow the texts' lengths.
 CHUNK = 1 << 18
-#: Texts that are multiplied at once.
-ROWS = 256
+#: Texts and n-grams that are bundled at once.
+ROWS, GRAMS = 256, 1 << 20
+#: N-grams whose vectors are made at once, and the size of a table of counts up to which it is made whole.
+SLICE, TABLE = 4096, 1 << 23
 UND = "und"
 
 
 @lru_cache(1)
-def letter_symbols() -> np.ndarray:
-    """The symbol of every code point; letters beyond ASCII are dealt to the other symbols by a hash."""
-    out = np.zeros(0x110000, np.uint8)
+def letter_table() -> np.ndarray:
+    """Every code point's letter in lower case, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
-        if 0xD800 <= cp < 0xE000:
-            continue
         c = chr(cp)
         if c.isalpha():
-            low = c.lower()[0]
-            out[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 7) % (SYMBOLS - 27)
+            out[cp] = ord(c.lower()[0])
     return out
 
 
-@lru_cache(1)
-def letter_vectors() -> np.ndarray:
-    """For each place in the n-gram, every symbol's vector rotated by that place."""
-    base = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1
-    return np.stack([np.roll(base, N - 1 - k, axis=1) for k in range(N)])
-
+@lru_cache(1 << 14)
+def letter_vector(letter: int) -> np.ndarray:
+    """The letter's own vector; 0 stands for the gap between words."""
+    return np.random.default_rng([SEED, letter]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
 
-def gram_vectors(grams: np.ndarray) -> np.ndarray:
-    """The bound vectors of n-gram codes, as float32."""
-    place, out = letter_vectors(), None
-    for k in range(N):
-        symbol = grams // SYMBOLS ** (N - 1 - k) % SYMBOLS
-        out = place[k][symbol] if out is None else out * place[k][symbol]
-    return out.astype(np.float32)
 
-
-def gram_codes(text: str) -> Iterator[np.ndarray]:
-    """The n-gram codes of a whole text, chunk by chunk; runs of non-letters are one gap."""
-    table, last = letter_symbols(), np.zeros(1, np.uint8)
+def letters(text: str) -> Iterator[np.ndarray]:
+    """The letters of a whole text chunk by chunk, runs of anything else being one gap; every n-gram lies in one chunk."""
+    table, last = letter_table(), np.zeros(1, np.uint32)
     for i in range(0, len(text), CHUNK):
         s = table[np.frombuffer(text[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = np.concatenate([last, s] if i + CHUNK < len(text) else [last, s, np.zeros(1, np.uint8)])
+        s = np.concatenate([last, s] if i + CHUNK < len(text) else [last, s, np.zeros(1, np.uint32)])
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
         if len(s) >= N:
-            code = np.zeros(len(s) - N + 1, np.int64)
-            for k in range(N):
-                code = code * SYMBOLS + s[k : len(s) - N + 1 + k]
-            yield code
+            yield s
         last = s[-(N - 1) :]
 
 
-def _chosen(codes: np.ndarray) -> np.ndarray:
-    """Without n-grams that have no letter before their last place."""
-    return codes[(codes % SYMBOLS ** (N - 1) != 0) | (codes >= SYMBOLS ** (N - 1))]
-
-
-def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that occur in these texts, and how often each text has each.
-
-    Codes of texts up to a chunk are kept from the first pass to the second, those of longer ones are made again.
-    """
-    seen = np.zeros(SYMBOLS**N, bool)
-    held: list[list[np.ndarray] | None] = []
-    for t in texts:
-        short = len(t or "") <= CHUNK
-        held.append([] if short else None)
-        for c in gram_codes(t or ""):
-            c = _chosen(c)
-            seen[c] = True
-            if short:
-                held[-1].append(c)
-    grams = np.flatnonzero(seen)
-    column = np.zeros(SYMBOLS**N, np.int32)
-    column[grams] = np.arange(len(grams), dtype=np.int32)
-    counts = np.zeros((len(texts), len(grams)), np.int64)
-    for i, (t, kept) in enumerate(zip(texts, held, strict=True)):
-        for c in map(_chosen, gram_codes(t)) if kept is None else kept:
-            counts[i] += np.bincount(column[c], minlength=len(grams))[: len(grams)]
-    return grams, counts
+def _bundled(chunks: list[np.ndarray], rows: list[int], out: np.ndarray, total: np.ndarray) -> None:
+    """Adds the n-grams' vectors of every chunk to its row of out, and their number to total."""
+    s = np.concatenate(chunks)
+    size = np.array([len(c) for c in chunks])
+    first = np.repeat(np.cumsum(size) - size, size - (N - 1)) + np.arange((size - (N - 1)).sum()) - np.repeat(np.cumsum(size - (N - 1)) - (size - (N - 1)), size - (N - 1))
+    row = np.repeat(rows, size - (N - 1))
+    # the letters that occur, dealt numbers as small as can be
+    seen = np.zeros(0x110000, bool)
+    seen[s] = True
+    alphabet = np.flatnonzero(seen)
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    n, s = len(alphabet), number[s]
+    code = np.zeros(len(first), np.int64)
+    for k in range(N):
+        code = code * n + s[first + k]
+    if n**N <= 1 << 22:
+        there = np.zeros(n**N, bool)
+        there[code] = True
+        grams = np.flatnonzero(there)
+        place = np.zeros(n**N, np.int64)
+        place[grams] = np.arange(len(grams))
+        column = place[code]
+    else:
+        grams, column = np.unique(code, return_inverse=True)
+    base = np.stack([letter_vector(int(x)) for x in alphabet])
+    turned = [np.roll(base, N - 1 - k, axis=1) for k in range(N)]
+    whole = np.bincount(row * len(grams) + column, minlength=len(out) * len(grams)).reshape(len(out), -1) if len(out) * len(grams) <= TABLE else None
+    order = None if whole is not None else np.argsort(column, kind="stable")
+    cuts = None if order is None else np.searchsorted(column[order], np.arange(0, len(grams) + SLICE, SLICE))
+    for j, lo in enumerate(range(0, len(grams), SLICE)):
+        some = grams[lo : lo + SLICE]
+        vectors = turned[0][some // n ** (N - 1)]
+        for k in range(1, N):
+            vectors = vectors * turned[k][some // n ** (N - 1 - k) % n]
+        if whole is not None:
+            counts = whole[:, lo : lo + SLICE]
+        else:
+            own = order[cuts[j] : cuts[j + 1]]
+            counts = np.bincount(row[own] * len(some) + column[own] - lo, minlength=len(out) * len(some)).reshape(len(out), -1)
+        out += counts.astype(np.float32) @ vectors.astype(np.float32)
+    total += np.bincount(row, minlength=len(total))
+
+
+def bundles(texts: list[str | None], rows: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of size rows the bundle of all n-grams of the texts that belong to it, and their number; whole numbers."""
+    out, total = np.zeros((size, DIMENSIONS)), np.zeros(size, np.int64)
+    held: list[np.ndarray] = []
+    at: list[int] = []
+    n = 0
+    for t, r in zip(texts, rows, strict=True):
+        for s in letters(t or ""):
+            held.append(s)
+            at.append(r)
+            n += len(s)
+            if n >= GRAMS:
+                _bundled(held, at, out, total)
+                held, at, n = [], [], 0
+    if held:
+        _bundled(held, at, out, total)
+    return out, total
 
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """The unit prototype of every non-null language in df; all rows count.
 
-    What comes to the driver is at most SYMBOLS ** N counts a language.
+    Tasks bundle their texts by language and the bundles are added up by dimension, so what comes to the driver is
+    one number for each dimension of each language, however many rows there are.
     """
 
     def sent(total: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-        for name, bins in total.items():
-            at = np.flatnonzero(bins)
-            yield pd.DataFrame({"lang": name, "gram": at, "n": bins[at]})
+        for name, vector in total.items():
+            yield pd.DataFrame({"lang": name, "at": np.arange(DIMENSIONS, dtype=np.int32), "n": vector})
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
+            names, row = np.unique(pdf["lang"].to_numpy(str), return_inverse=True) if len(pdf) else ([], [])
+            sums, _ = bundles(list(pdf["text"]), list(row), len(names))
+            for name, vector in zip(names, sums, strict=True):
+                total[str(name)] = total.get(str(name), 0) + vector.astype(np.int64)
             if len(total) > 64:
                 yield from sent(total)
                 total = {}
-            for t, name in zip(pdf["text"], pdf["lang"], strict=True):
-                bins = total.setdefault(name, np.zeros(SYMBOLS**N, np.int64))
-                for code in gram_codes(t):
-                    np.add.at(bins, code, 1) if len(code) < 4096 else bins.__iadd__(np.bincount(code, minlength=SYMBOLS**N))
         yield from sent(total)
 
     rows = (
         df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-        .mapInPandas(gather, "lang string, gram long, n long")
-        .groupBy("lang", "gram")
+        .mapInPandas(gather, "lang string, at int, n long")
+        .groupBy("lang", "at")
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
     out = {}
     for name, part in rows.groupby("lang"):
-        grams, n = part["gram"].to_numpy(), part["n"].to_numpy(np.float64)
-        keep = grams != 0
         vector = np.zeros(DIMENSIONS)
-        for i in range(0, keep.sum(), 4096):
-            vector += n[keep][i : i + 4096] @ gram_vectors(grams[keep][i : i + 4096])
+        vector[part["at"].to_numpy()] = part["n"].to_numpy(np.float64)
         if norm := np.linalg.norm(vector):
             out[name] = vector / norm
     return dict(sorted(out.items()))
@@ -155,8 +169,8 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 def predict(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
     """The nearest prototype's language and its cosine, cut at 0; ties go to the smaller name.
 
-    A text that is null or has no letter, and any text where there are no prototypes, is und with score 0.
-    What all prototypes share (their mean) tells no language from another and is taken off for the choice.
+    What all prototypes share (their mean) tells no language from another and is taken off before they are compared. A text that
+    is null or has no letter, and any text where there are no prototypes, is und with score 0.
     """
     names = list(prototypes)
     if not names or not texts:
@@ -167,17 +181,12 @@ def predict(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple
     langs: list[str] = []
     scores: list[float] = []
     for i in range(0, len(texts), ROWS):
-        grams, counts = counted(texts[i : i + ROWS])
-        vectors = np.zeros((len(counts), DIMENSIONS), np.float32)
-        for k in range(0, len(grams), 4096):
-            vectors += counts[:, k : k + 4096].astype(np.float32) @ gram_vectors(grams[k : k + 4096])
-        norms = np.linalg.norm(vectors, axis=1).astype(np.float64)
-        unit = vectors / np.maximum(norms, 1e-12)[:, None]
-        best = (unit @ apart.T).argmax(1)
-        cosine = np.clip((unit * p[best]).sum(1), 0.0, 1.0)
-        has = counts.sum(1) > 0
-        langs += [names[b] if h else UND for b, h in zip(best, has, strict=True)]
-        scores += [float(c) if h else 0.0 for c, h in zip(cosine, has, strict=True)]
+        some = texts[i : i + ROWS]
+        vectors, total = bundles(some, list(range(len(some))), len(some))
+        cosine = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None] @ apart.T
+        best = cosine.argmax(1)
+        langs += [names[b] if n else UND for b, n in zip(best, total, strict=True)]
+        scores += [float(min(max(c[b], 0.0), 1.0)) if n else 0.0 for c, b, n in zip(cosine, best, total, strict=True)]
     return langs, scores
 
 
