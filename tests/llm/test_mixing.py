@@ -28,7 +28,7 @@ def test_rates_meet_the_targets(spark):
     got = mixing.mix(docs, labels, targets).toPandas()
     assert len(got) == len(rows)
     p = got[[f"p_{d}" for d in targets]].to_numpy()
-    expected = (p * (got.rate * got.n_tokens).to_numpy()[:, None]).sum(0)
+    expected = (p * (got.rate * got.n_words).to_numpy()[:, None]).sum(0)
     assert np.abs(expected / expected.sum() - list(targets.values())).max() < 0.01
     assert (got.rate >= 0).all() and got.copies.between(np.floor(got.rate), np.floor(got.rate) + 1).all()
     kinds = {r[0]: r[2] for r in rows if r[1]}
@@ -38,32 +38,41 @@ def test_rates_meet_the_targets(spark):
     assert got[got.doc_id == 1].rate.nunique() == 1
 
 
-def brute_rates(p, t, goal, rounds=40):
-    r = np.ones(len(t))
+def least_squares(p, t, goal, rounds=200_000):
+    """The least distance to goal that nonnegative rates leave, by plain projected gradient without any scaling."""
+    a = (p * t[:, None]).T
+    r, step = np.ones(len(t)), 1 / np.linalg.norm(a @ a.T, 2)
     for _ in range(rounds):
-        have = (r * t) @ p
-        if np.abs(have - goal).max() <= mixing.TOLERANCE * goal.sum():
-            break
-        active = r > 0
-        second = (p[active] * t[active, None]).T @ p[active]
-        r = np.maximum(0, r - p @ np.linalg.solve(second + 1e-6 * max(np.trace(second), 1e-9) * np.eye(p.shape[1]), have - goal))
-    return r
+        r = np.maximum(0, r - step * (a.T @ (a @ r - goal)))
+    return np.linalg.norm(a @ r - goal)
 
 
-def test_against_brute_force(spark):
+def test_against_a_solver(spark):
+    """Targets that can be met are; of others, as narrow as they get here, the fit leaves little more than the least-squares solution."""
     rng = np.random.default_rng(2)
-    p = rng.dirichlet([0.3] * 3, 400)
-    t = rng.integers(0, 100, 400)
-    members = spark.createDataFrame([(i, int(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, p array<double>")
-    steps, goal, _ = mixing.fit_rates(members, {"a": 0.1, "b": 0.2, "c": 0.7}, keep=("c",))
-    got = [r["r"] for r in members.orderBy("doc_id").select(mixing.rate(mixing.F.col("p"), steps).alias("r")).collect()]
-    assert np.allclose(got, brute_rates(p, t, goal), atol=1e-6)
-    assert goal[2] >= (t @ p)[2] - 1e-6
+    for alpha, targets in ((0.3, {"a": 0.1, "b": 0.2, "c": 0.7}), (60.0, {"a": 0.8, "b": 0.1, "c": 0.1})):
+        p, t = rng.dirichlet([alpha] * 3, 200), rng.integers(0, 100, 200)
+        members = spark.createDataFrame([(i, int(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(t, p, strict=True))], "doc_id long, n_words long, p array<double>").coalesce(1)
+        steps, goal, have = mixing.fit_rates(members, targets, keep=("c",))
+        got = np.array([r["r"] for r in members.orderBy("doc_id").select(mixing.rate(mixing.F.col("p"), steps).alias("r")).collect()])
+        assert (got >= 0).all() and np.allclose((got * t) @ p, have)
+        assert goal[2] >= (t @ p)[2] - 1e-6
+        assert np.linalg.norm(have - goal) <= 1.15 * least_squares(p, t, goal, 20_000) + 2 * mixing.TOLERANCE * goal.sum()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(20)], "doc_id long, text string")
+    got = mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"), {"good": 0.9, "poor": 0.1}).toPandas()
+    assert np.allclose(got.missed, 0.4, atol=0.01) and np.allclose(got.rate, 1, atol=0.01)
 
 
 def test_edges(spark):
     _, docs, labels = corpus(spark, 40)
     assert mixing.mix(docs.limit(0), labels).count() == 0
+    # a null doc_id isn't labelled, and very long texts are taken whole; ids may repeat with other texts
+    odd = docs.unionByName(spark.createDataFrame([(None, "idiot scum", "x", 1), (9001, "word " * 300_000 + "end", "x", 1), (1, "another text", "x", 1)], docs.schema))
+    odd = mixing.mix(odd, labels).toPandas()
+    assert len(odd) == 46 and odd.n_words.max() == 300_001 and odd.doc_id.isna().sum() == 1
     flat = mixing.mix(docs, labels.limit(0)).toPandas()
     assert np.allclose(flat.p_good, 1 / 3)
     kept = mixing.mix(docs, labels, {"good": 0.6, "poor": 0.39, "toxic": 0.01}, keep=("good", "poor"), spare=0.5).toPandas()
