@@ -500,7 +500,7 @@ def dedup_strings(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str =
 
     def around(rows: DataFrame) -> DataFrame:
         by_doc = rows.groupBy("pos", "key").agg(F.collect_set(F.struct("at", "mark", "start", "stop")).alias("marks"))
-        return contexts(source.join(by_doc, ["pos", "key"]))
+        return contexts(source.drop("unnamed").join(by_doc, ["pos", "key"]))
 
     if large.isEmpty():
         covered = matched(around(compared), length, k)
