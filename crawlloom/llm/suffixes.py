@@ -364,7 +364,7 @@ def recurring(rows: DataFrame) -> DataFrame:
 
 
 def contexts(df: DataFrame) -> DataFrame:
-    """(mark, pos, key, at, before, after) for df (pos, key, data, marks): the mirrored bytes of each anchor's strings before it, their bytes from it on."""
+    """(mark, pos, key, at, before, after) for df (pos, key, data, unnamed, marks): the mirrored bytes of each anchor's strings before it, their bytes from it on."""
     names = ["mark", "pos", "key", "at", "before", "after"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +372,7 @@ def contexts(df: DataFrame) -> DataFrame:
             for lo in range(0, whole.num_rows, 64):
                 b = whole.slice(lo, 64)
                 out: list[list] = [[], [], [], [], [], []]
-                for pos, key, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                for pos, key, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(4), strict=True):
                     data = t.as_buffer().to_pybytes()
                     at, mark, start, stop = (marks.values.field(n).to_pylist() for n in ("at", "mark", "start", "stop"))
                     out[0] += mark
@@ -495,12 +495,13 @@ def dedup_strings(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str =
     marks = written(recurring(occurrences(source, length, k)), "marks")
     compared = marks.where("not done").drop("done")
     limit = min(GROUP, max(EVEN, UNEVEN * compared.count() // shuffle_partitions(df.sparkSession)))
-    large = compared.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("mark")
+    # written, so that the joins with it split frequent anchors, or shuffle nothing where these are few
+    large = written(compared.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("mark"), "frequent")
     done = marks.where("done").select("pos", "key", "start", "stop")
 
     def around(rows: DataFrame) -> DataFrame:
         by_doc = rows.groupBy("pos", "key").agg(F.collect_set(F.struct("at", "mark", "start", "stop")).alias("marks"))
-        return contexts(source.drop("unnamed").join(by_doc, ["pos", "key"]))
+        return contexts(source.join(by_doc, ["pos", "key"]))
 
     if large.isEmpty():
         covered = matched(around(compared), length, k)
