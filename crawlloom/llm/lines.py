@@ -1,17 +1,19 @@
 """Line dedup by winnowing over line hashes.
 
-A window starts at every line and is the shortest run of whole lines from there
-with at least min_words words. Its fingerprint is the smallest of its lines'
-hashes, so two documents that share a run of min_words words or more select the
-same fingerprint inside it, whatever surrounds the run. Fingerprints that occur
-once are dropped; around the others the match is extended both ways to the edges of each window
-that selected them, and windows of equal content meet. Occurrences are aggregated, never
-paired: every one but the first in document order is deleted, and
-overlapping windows join to runs as long as the repeated passage.
+Windows are runs of whole lines with at least min_words words that lose that with the line at one of their ends: the
+shortest from every line on, and the shortest up to every line. Winnowing selects in each window the line of the smallest hash
+(of several the last), and keeps each selected line once, as a fingerprint at its position, with the windows that it was selected
+for. Two documents that share a run of min_words words or more select the same fingerprints inside it, whatever surrounds the run.
+Fingerprints that are met once are dropped; positions of the same fingerprint are joined, and from there matches are
+extended both ways, window by window: windows of equal content are one run of lines in two places. A repeated run of any length is
+covered by such windows to its last line at either end, however short that is, so overlapping
+windows join to the longest run that is repeated. Of the places of a run all but the first in document order are deleted.
+Occurrences are aggregated, never paired.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlloom.llm.common import content_key, written
+from crawlloom.llm.common import content_key, forget, written
 
 MIN_WORDS = 10
 #: Where a null doc_id sorts in document order.
 LAST = (1 << 63) - 1
+#: Windows and fingerprints that are handed over at once.
 ROWS = 50_000
 
 
-def windows(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
-    """(first line, line after the last, fingerprint, digest high, digest low) of every window of a whole text."""
+def windows(words: list[int], min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first line, line after the last) of the shortest windows from every line on, and of those up to every line."""
+    on, to = [], []
+    have = end = 0
+    for i, n in enumerate(words):
+        while have < min_words and end < len(words):
+            have += words[end]
+            end += 1
+        if have < min_words:
+            break
+        on.append((i, end))
+        have -= n
+    have = begin = 0
+    for j, n in enumerate(words):
+        have += n
+        while have - words[begin] >= min_words and begin < j:
+            have -= words[begin]
+            begin += 1
+        if have >= min_words:
+            to.append((begin, j + 1))
+    return on, to
+
+
+def selected(hashes: list[int], spans: list[tuple[int, int]]) -> Iterator[int]:
+    """The last line of the smallest hash in each of the spans, whose ends never go back."""
+    rising: deque[int] = deque()
+    end = 0
+    for a, z in spans:
+        while end < z:
+            while rising and hashes[rising[-1]] >= hashes[end]:
+                rising.pop()
+            rising.append(end)
+            end += 1
+        while rising[0] < a:
+            rising.popleft()
+        yield rising[0]
+
+
+def fingerprints(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """(hash, line, windows) of the selected lines of a whole text; windows are (first line, line after the last, digest high, digest low)."""
     data = text.encode("utf-8", "surrogatepass")
     lines = data.split(b"\n")
     words = [len(x.split()) for x in lines]
@@ -38,23 +79,16 @@ def windows(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, i
         return
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
     at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
-    end = have = 0
-    least: list[int] = []  # lines of the window whose hashes rise, so that the first is the smallest
-    head = 0
-    for i, n in enumerate(words):
-        while have < min_words and end < len(lines):
-            while len(least) > head and hashes[least[-1]] >= hashes[end]:
-                least.pop()
-            least.append(end)
-            have += words[end]
-            end += 1
-        if have < min_words:
-            return
-        while least[head] < i:
-            head += 1
-        digest = xxhash.xxh3_128_intdigest(data[at[i] : at[end] - 1])
-        yield i, end, hashes[least[head]], digest >> 64, digest & (1 << 64) - 1
-        have -= n
+    chosen: dict[int, set[tuple[int, int]]] = {}
+    for spans in windows(words, min_words):
+        for line, span in zip(selected(hashes, spans), spans, strict=True):
+            chosen.setdefault(line, set()).add(span)
+    for line, spans in chosen.items():
+        rows = []
+        for a, z in sorted(spans):
+            digest = xxhash.xxh3_128_intdigest(data[at[a] : at[z] - 1])
+            rows.append((a, z, digest >> 64, digest & (1 << 64) - 1))
+        yield hashes[line], line, rows
 
 
 def kept(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
@@ -69,38 +103,50 @@ def kept(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
     return "\n".join(x for x, o in zip(lines, out[1:], strict=True) if not o), len(lines), int(out.sum()), runs
 
 
-def window_rows(df: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    names = ["pos", "key", "start", "stop", "mark", "high", "low"]
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
-            start, stop, *wide = zip(*rows, strict=True)
-            own = [b.column(k).take(pa.array(at)) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in wide]], names)
 
+def fingerprint_rows(df: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """(mark, pos, key, line, windows) of every fingerprint of every document."""
+
+    def batch(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        marks, line, spans = zip(*rows, strict=True)
+        start, stop, high, low = zip(*[w for s in spans for w in s], strict=True)
+        kinds = ["start", "stop", "high", "low"]
+        flat = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(stop, pa.int32()), _longs(high), _longs(low)], kinds)
+        nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spans])]), pa.int32()), flat)
+        own = [b.column(k).take(pa.array(at)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([_longs(marks), *own, pa.array(line, pa.int32()), nested], ["mark", "pos", "key", "line", "windows"])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             at: list[int] = []
             rows: list[tuple] = []
+            size = 0
             for i, t in enumerate(b.column(2)):
-                for w in windows(t.as_py() or "", min_words):
+                for found in fingerprints(t.as_py() or "", min_words):
                     at.append(i)
-                    rows.append(w)
-                if len(rows) >= ROWS:
-                    yield batch(b, at, rows)
-                    at, rows = [], []
+                    rows.append(found)
+                    size += len(found[2])
+                    if size >= ROWS:
+                        yield batch(b, at, rows)
+                        at, rows, size = [], [], 0
             if rows:
                 yield batch(b, at, rows)
 
     source = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("pos"), content_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(batches, "pos long, key long, start int, stop int, mark long, high long, low long")
+    return source.mapInArrow(batches, "mark long, pos long, key long, line int, windows array<struct<start: int, stop: int, high: long, low: long>>")
 
 
 def repeated(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(pos, key, spans): the windows of each document that repeat an earlier one."""
-    rows = written(window_rows(df, min_words, doc_id, text), "windows")
+    rows = written(fingerprint_rows(df, min_words, doc_id, text), "fingerprints")
     # written, so that the joins get both sides by a shuffle that can split a frequent key
     marks = written(rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks")
-    candidates = written(rows.join(marks, "mark", "left_semi").drop("mark"), "candidates")
+    extended = rows.join(marks, "mark", "left_semi").select("pos", "key", F.explode("windows").alias("w")).select("pos", "key", "w.*")
+    candidates = written(extended, "candidates")
+    forget(rows, marks)
     place = F.struct("pos", "key", "start")
     first = candidates.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     first = written(first, "first")
@@ -111,8 +157,9 @@ def repeated(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id",
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df without later repeats of runs of lines, with n_lines, n_removed and n_runs.
 
-    A run counts if it has at least min_words words; its first place in order of
-    doc_id, then of line, stays, and a null doc_id comes last. Lines are compared as they
+    A run of lines counts if it has at least min_words words; its first place in order of
+    doc_id, then of line, stays, and a null doc_id comes last. A line goes if any run that it is in has an earlier place, so
+    short lines at the ends of a repeated run go with it. Lines are compared as they
     stand. Null texts stay null with no lines, empty ones have one empty line. Rows that
     repeat doc_id and text are one document, shown as often as it occurs. Columns of df
     that have the added names are replaced; an empty table gives an empty result.
@@ -148,8 +195,8 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM d
 l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 c AS (SELECT doc_id, i, line, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
-e AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b
-      ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {min_words} GROUP BY ALL),
+long AS (SELECT a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {min_words}),
+e AS (SELECT doc_id, i, min(j) AS j FROM long GROUP BY doc_id, i UNION SELECT doc_id, max(i), j FROM long GROUP BY doc_id, j),
 x AS (SELECT e.doc_id, e.i, e.j, array_to_string(d.ls[e.i:e.j], chr(10)) AS content FROM e JOIN d USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM x),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM r WHERE nth > 1),
