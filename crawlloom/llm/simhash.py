@@ -2,7 +2,7 @@
 
 Equal fingerprints are one node before anything is compared. Two fingerprints
 within the radius agree in at least one of radius + 1 blocks of their bits, so
-every pair meets in the shard of such a block's value. A shard is one BK-tree:
+every pair meets in the shard of such a block's value. A shard is one BK-tree of some hundred codes or more:
 children hang on the integer distance to their parent and a search follows only
 the edges within the radius. A tree goes to the task that searches it, not to
 all of them: its size follows the corpus, so nothing bounds a broadcast. From a
@@ -26,12 +26,12 @@ from crawlloom.llm.components import components
 WORDS = 4
 RADIUS = 4
 SEED = 42
-#: A node with no more members than this keeps them as a leaf, compared directly.
-LEAF = 48
+#: A node with no more members than this is a leaf; one with MEDIAN members or more has its pivot next to their centre.
+LEAF, MEDIAN = 4, 32
 #: Shingles that are hashed before their bits are added up.
 CHUNK = 1 << 16
-#: Members a shard's blocks are chosen for; only the time depends on it.
-SHARD = 256
+#: Members of a shard, in the mean, that its key is chosen for; only the time depends on it.
+SHARD = 512
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -69,39 +69,6 @@ def as_hex(simhash: str = "simhash"):
     return F.lower(F.lpad(F.hex(simhash), 16, "0"))
 
 
-class BKTree:
-    """A BK-tree over 64-bit codes with batched searches."""
-
-    def __init__(self, codes: np.ndarray, members: np.ndarray | None = None):
-        self.codes = codes
-        members = np.arange(len(codes)) if members is None else members
-        self.leaf = members if len(members) <= LEAF else None
-        self.children: dict[int, BKTree] = {}
-        if self.leaf is None:
-            self.pivot, rest = members[0], members[1:]
-            edge = np.bitwise_count(codes[rest] ^ codes[self.pivot])
-            order = np.argsort(edge, kind="stable")
-            cuts = np.flatnonzero(np.diff(edge[order])) + 1
-            for part in np.split(order, cuts):
-                self.children[int(edge[part[0]])] = BKTree(codes, rest[part])
-
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, member) within the radius, node by node; both are places in codes."""
-        if self.leaf is not None:
-            for i in range(0, len(queries), 4096):
-                q = queries[i : i + 4096]
-                a, b = np.nonzero(np.bitwise_count(self.codes[q][:, None] ^ self.codes[self.leaf][None, :]) <= radius)
-                yield q[a], self.leaf[b]
-            return
-        d = np.bitwise_count(self.codes[queries] ^ self.codes[self.pivot]).astype(np.int64)
-        hit = queries[d <= radius]
-        yield hit, np.full(len(hit), self.pivot)
-        for edge, child in self.children.items():
-            near = queries[np.abs(d - edge) <= radius]
-            if len(near):
-                yield from child.within(near, radius)
-
-
 class Forest:
     """Union-find that takes batches of links."""
 
@@ -113,41 +80,118 @@ class Forest:
             ra, rb = self.root[a], self.root[b]
             apart = ra != rb
             a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            if not len(a):
+                return
             np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
             while (flat := self.root[self.root]).tobytes() != self.root.tobytes():
                 self.root = flat
 
 
+def centre(codes: np.ndarray) -> np.uint64:
+    """The code whose bits are set where most of the codes have them set."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(codes), CHUNK):
+        total += np.unpackbits(codes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.uint64(int.from_bytes(np.packbits(2 * total > len(codes)).tobytes(), "big"))
+
+
+class BKTree:
+    """A BK-tree over distinct 64-bit codes with batched searches.
+
+    Each node is a pivot; its children hang on the integer Hamming distance to it, and a search follows only the edges within
+    the radius of the query's own distance. Pivots are taken next to the centre of their subtree, so that the copies around
+    one text are near a pivot. What lies within the radius of a pivot is linked to it while the tree is built; a search is then only made for
+    links between what is still apart, and passes by a subtree that hangs together with the query already.
+    """
+
+    def __init__(self, codes: np.ndarray, radius: int):
+        self.codes, self.radius = codes, radius
+        self.forest = Forest(len(codes))
+        #: (members, pivot, [(edge, child)]); leaves have no pivot.
+        self.nodes: list[tuple[np.ndarray, int, list[tuple[int, int]]]] = []
+        self.followed = self.skipped = 0
+        todo = [(np.arange(len(codes)), None, 0)] if len(codes) else []
+        a, b = [], []
+        while todo:
+            members, parent, edge = todo.pop()
+            own = len(self.nodes)
+            if parent is not None:
+                self.nodes[parent][2].append((edge, own))
+            if len(members) <= LEAF:
+                self.nodes.append((members, -1, []))
+                continue
+            pivot = members[0] if len(members) < MEDIAN else members[np.bitwise_count(codes[members] ^ centre(codes[members])).argmin()]
+            self.nodes.append((members, int(pivot), []))
+            rest = members[members != pivot]
+            far = np.bitwise_count(codes[rest] ^ codes[pivot])
+            near = rest[far <= radius]
+            a.append(near), b.append(np.full(len(near), pivot))
+            order = np.argsort(far, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(far[order])) + 1):
+                todo.append((rest[part], own, int(far[part[0]])))
+        if a:
+            self.forest.join(np.concatenate(a), np.concatenate(b))
+
+    def link(self) -> None:
+        """Joins all codes within the radius of each other in the forest."""
+        todo = [(0, np.arange(len(self.codes)))] if self.nodes else []
+        while todo:
+            node, queries = todo.pop()
+            members, pivot, children = self.nodes[node]
+            root = self.forest.root
+            one = root[members[0]]
+            if (root[members] == one).all():
+                queries = queries[root[queries] != one]
+            if not len(queries):
+                continue
+            if pivot < 0:
+                for i in range(0, len(queries), 4096):
+                    q = queries[i : i + 4096]
+                    x, y = np.nonzero(np.bitwise_count(self.codes[q][:, None] ^ self.codes[members][None, :]) <= self.radius)
+                    self.forest.join(q[x], members[y])
+                continue
+            d = np.bitwise_count(self.codes[queries] ^ self.codes[pivot]).astype(np.int64)
+            hit = queries[d <= self.radius]
+            self.forest.join(hit, np.full(len(hit), pivot))
+            for edge, child in children:
+                near = queries[np.abs(d - edge) <= self.radius]
+                self.followed += len(near)
+                self.skipped += len(queries) - len(near)
+                if len(near):
+                    todo.append((child, near))
+
+
 def shard_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within the radius among distinct codes."""
-    if len(codes) < 2:
-        return codes[:0], codes[:0]
-    forest, tree = Forest(len(codes)), BKTree(codes)
-    for a, b in tree.within(np.arange(len(codes)), radius):
-        forest.join(a, b)
-    moved = forest.root != np.arange(len(codes))
-    return codes[moved], codes[forest.root[moved]]
+    tree = BKTree(codes, radius)
+    tree.link()
+    root = tree.forest.root
+    moved = root != np.arange(len(codes))
+    return codes[moved], codes[root[moved]]
 
 
-def schemes(n: int, radius: int) -> tuple[int, int]:
-    """How many blocks the bits are cut into, and how many of them make a shard's key.
+def schemes(n: int, radius: int) -> tuple[int, int, int]:
+    """How many blocks the bits are cut into, how many of them make a shard's key, and how many bits of each block count.
 
-    Codes within the radius agree in blocks - radius blocks at least. More blocks
-    make smaller shards of more rows; any choice finds the same links.
+    Codes within the radius agree in blocks - radius blocks at least. More blocks, or bits, make smaller
+    shards; any choice finds the same links.
     """
     blocks = radius + 1
     while blocks < radius + 4 and n / 2 ** (64 * (blocks - radius) / blocks) > SHARD:
         blocks += 1
-    return blocks, blocks - radius
+    wanted = max(0, -(-int(n) // SHARD) - 1).bit_length()
+    return blocks, blocks - radius, min(64 // blocks, -(-wanted // (blocks - radius)))
 
 
 def shard_keys(n: int, radius: int) -> list[tuple[int, int]]:
     """(table, mask): a code belongs to the shard (table, code & mask)."""
     from itertools import combinations
 
-    blocks, agree = schemes(n, radius)
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
+    blocks, agree, bits = schemes(n, radius)
+    if not bits:
+        return [(0, 0)]
+    starts = [64 * i // blocks for i in range(blocks)]
+    parts = [((1 << bits) - 1) << s for s in starts]
     masks = [sum(parts[i] for i in c) for c in combinations(range(blocks), agree)]
     return [(t, m - (1 << 64) if m >> 63 else m) for t, m in enumerate(masks)]
 

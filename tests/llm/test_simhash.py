@@ -43,14 +43,65 @@ def test_chunked_fingerprint(monkeypatch):
     assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("leaf", [1, 4, 48])
-def test_tree_finds_all_within(monkeypatch, leaf):
+def linked(codes, radius):
+    """Which codes hang together, by comparing all."""
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius
+    root = np.arange(len(codes))
+    while True:
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            return root
+        root = new
+
+
+@pytest.mark.parametrize("leaf, median", [(1, 2), (4, 32), (48, 10**9)])
+def test_tree_links_all_within(monkeypatch, leaf, median):
     monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "MEDIAN", median)
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 6, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 6, dtype=np.uint64)) for _ in range(40)]))
-    got = {(int(a), int(b)) for x, y in simhash.BKTree(codes).within(np.arange(len(codes)), 4) for a, b in zip(x, y, strict=True)}
-    assert got == {(i, j) for i in range(len(codes)) for j in range(len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 4}
+    base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64))
+    for bits in (1, 3, 5, 7):
+        made = [base]
+        for _ in range(40):
+            x = base[rng.integers(0, 12, 12)]
+            for _ in range(bits):
+                x = flip(x)
+            made.append(x)
+        codes = np.unique(np.concatenate(made))
+        tree = simhash.BKTree(codes, 4)
+        tree.link()
+        assert (linked(codes, 4)[tree.forest.root] == linked(codes, 4)).all() and len(set(tree.forest.root)) == len(set(linked(codes, 4)))
+
+
+def test_search_follows_edges_within_the_radius_only(spark):
+    """On a real table the codes of a shard make a deep tree, and part of its edges is passed by."""
+    prints = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    codes = np.unique(np.array([r["simhash"] for r in prints.select("simhash").distinct().collect()]).view(np.uint64))
+    _, mask = simhash.shard_keys(len(codes), 4)[0]
+    key = codes & np.uint64(mask % (1 << 64))
+    values, sizes = np.unique(key, return_counts=True)
+    assert np.median(sizes) > 16 * simhash.LEAF
+    tree = simhash.BKTree(codes[key == values[sizes.argmax()]], 4)
+    tree.link()
+    assert sum(pivot >= 0 for _, pivot, _ in tree.nodes) > 20
+    assert tree.followed > 0 and tree.skipped > 0.2 * (tree.followed + tree.skipped)
+
+
+def test_a_family_around_one_centre_is_cheap():
+    """100,000 codes within some bits of one: what hangs together isn't searched, and memory is that of the codes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    codes = np.full(110_000, 0x0123456789ABCDEF, np.uint64)
+    for _ in range(4):
+        codes ^= (np.uint64(1) << rng.integers(0, 64, len(codes), dtype=np.uint64)) * rng.integers(0, 2, len(codes), dtype=np.uint64)
+    codes = np.unique(np.concatenate([codes, codes[:50] ^ np.uint64(0xFFFF << 20)]))
+    tracemalloc.start()
+    a, b = simhash.shard_links(codes, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2000 * len(codes) and len(a) >= len(codes) - 60
 
 
 def test_more_blocks_keep_the_guarantee():
