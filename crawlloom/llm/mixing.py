@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlloom.llm.common import content_key, written
@@ -158,25 +158,48 @@ def memberships(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text
     return rows.mapInArrow(batches, "doc_id long, key long, n_words long, p array<double>")
 
 
-def _dot(p: Column, u) -> Column:
-    return F.aggregate(F.zip_with(p, u, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """The rates of documents with these posteriors after these steps: from 1 down each step, never below 0."""
+    r = np.ones(len(p))
+    for u in steps:
+        r = np.maximum(0.0, r - p @ u)
+    return r
 
 
-def _numbers(u: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(x)) for x in u])
+def _posteriors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after these steps: from 1 down each step, never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    return F.aggregate(F.array(*map(_numbers, steps)), F.lit(1.0), lambda r, u: F.greatest(F.lit(0.0), r - _dot(p, u)))
+def moments(members: DataFrame, steps: list[np.ndarray], tried: list[np.ndarray]) -> np.ndarray:
+    """For each step tried after steps: the domains' expected tokens, and their second moments over documents of positive rate.
+
+    Tasks add up their documents, so a round moves a few numbers a task and its plan is the same in every round.
+    """
+    d, size = len(tried[0]), len(tried) * len(tried[0]) * (len(tried[0]) + 1)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(tried), d * (d + 1)))
+        for b in it:
+            if not b.num_rows:
+                continue
+            t, p = b.column(0).to_numpy().astype(np.float64), _posteriors(b.column(1))
+            before = rates(p, steps)
+            for n, u in enumerate(tried):
+                r = np.maximum(0.0, before - p @ u)
+                total[n, :d] += (r * t) @ p
+                total[n, d:] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total.ravel())], ["at", "x"])
+
+    out = np.zeros(size)
+    for r in members.select("n_words", "p").mapInArrow(batches, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r["x"]
+    return out.reshape(len(tried), d * (d + 1))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The steps of the fit, the domains' targets in tokens, and what the rates give.
 
-    The total is that of members, raised so far that no domain in keep has to shrink. A round tries several steps in one aggregation and
+    The total is that of members, raised so far that no domain in keep has to shrink. A round tries several steps in one pass and
     takes that which comes nearest in squares: the gradient scaled by the second moments, which is quick while few rates are 0, and the plain one
     at some lengths, the shortest of which can't miss. Rounds go on until every domain is within tolerance of the total, or until STALL of
     them in a row have come no nearer: then nonnegative rates can't meet the targets.
@@ -185,32 +208,35 @@ def fit_rates(members: DataFrame, targets: dict[str, float], keep: tuple[str, ..
     share = np.array(list(targets.values()))
     share = share / share.sum()
     steps: list[np.ndarray] = []
-    tried, goal, length, slow = [np.zeros(d)], np.zeros(d), 0.0, 0
-    before = np.inf
-    while True:
-        t, p = F.col("n_words"), [F.get("p", F.lit(i)) for i in range(d)]
-        after = members.withColumn("_r", rate(F.col("p"), steps)).withColumns({f"_r{n}": F.greatest(F.lit(0.0), F.col("_r") - _dot(F.col("p"), _numbers(u))) for n, u in enumerate(tried)})
-        sums = []
-        for n in range(len(tried)):
-            r = F.col(f"_r{n}")
-            sums += [F.sum(r * t * x) for x in p] + [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(d)]
-        got = np.array([x or 0.0 for x in after.agg(*sums).first()]).reshape(len(tried), d + d * d)
-        if not length:
-            second = got[0, d:].reshape(d, d)
-            length = 1 / max(np.linalg.eigvalsh(second)[-1], 1e-9)
-            total = max([got[0, :d].sum()] + [got[0, i] / share[i] for i, name in enumerate(targets) if name in keep and share[i] > 0])
-            goal = share * total
-        else:
-            steps.append(tried[np.linalg.norm(got[:, :d] - goal, axis=1).argmin()])
-        best = np.linalg.norm(got[:, :d] - goal, axis=1).argmin()
-        have, second = got[best, :d], got[best, d:].reshape(d, d)
-        left = np.linalg.norm(have - goal)
-        slow = slow + 1 if left > (1 - GAIN) * before else 0
-        before = min(before, left)
-        if np.abs(have - goal).max() <= tolerance * goal.sum() or slow >= STALL:
-            return steps, goal, have
+    first = moments(members, steps, [np.zeros(d)])[0]
+    have, second = first[:d], first[d:].reshape(d, d)
+    length = 1 / max(np.linalg.eigvalsh(second)[-1], 1e-9)
+    goal = share * max([have.sum()] + [have[i] / share[i] for i, name in enumerate(targets) if name in keep and share[i] > 0])
+    left, slow = np.linalg.norm(have - goal), 0
+    while np.abs(have - goal).max() > tolerance * goal.sum() and slow < STALL:
         scaled = np.linalg.solve(second + 1e-6 * max(np.trace(second), 1e-9) * np.eye(d), have - goal)
         tried = [scaled, scaled / 4, *[length * 8.0**k * (have - goal) for k in range(4)]]
+        got = moments(members, steps, tried)
+        best = np.linalg.norm(got[:, :d] - goal, axis=1).argmin()
+        now = np.linalg.norm(got[best, :d] - goal)
+        if now >= left:
+            break
+        steps.append(tried[best])
+        have, second = got[best, :d], got[best, d:].reshape(d, d)
+        slow = slow + 1 if now > (1 - GAIN) * left else 0
+        left = now
+    return steps, goal, have
+
+
+def rated(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+    """members with their rate."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            r = rates(_posteriors(b.column(3)), steps) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], [*b.schema.names, "rate"])
+
+    return members.mapInArrow(batches, "doc_id long, key long, n_words long, p array<double>, rate double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = (), spare: float = 1.0, labelled: int = LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,8 +253,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     members = written(memberships(docs, model, doc_id, text), "memberships")
     steps, goal, have = fit_rates(members, targets, keep)
     missed = float(np.abs(have - goal).max() / max(goal.sum(), 1e-12))
-    rated = members.withColumn("rate", rate(F.col("p"), steps))
     used = F.when((F.col("rate") >= spare) & (F.col("rate") < 1), F.lit(1.0)).otherwise(F.col("rate"))
     chance = F.shiftrightunsigned(F.xxhash64("key", F.lit("mix")), 11) / F.lit(float(1 << 53))
     shares = [F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(targets)]
-    return rated.select("doc_id", "key", "n_words", *shares, "rate", F.floor(used + chance).cast("long").alias("copies"), F.lit(missed).alias("missed"))
+    return rated(members, steps).select("doc_id", "key", "n_words", *shares, "rate", F.floor(used + chance).cast("long").alias("copies"), F.lit(missed).alias("missed"))
