@@ -3,19 +3,20 @@
 Unit vectors are projected on single random lines, and each line holds its
 values in a sorted array. A query's window on a line is centred on its own
 value; virtual rehashing widens all windows by a factor from round to round without
-hashing again. A vector that falls into enough of the windows has collided often
+hashing again. Only a vector that falls into enough of the windows has collided often
 enough to be verified: its cosine with the query is computed in double precision on
-the original vectors. A query is done when its k-th best distance is within the
-radius that the windows stand for.
+the original vectors. Near vectors collide on most lines, others on few, so few are verified.
 
-Vectors are dealt into blocks of bounded size, and every block answers every
-block of queries apart; answers of k rows meet by query. Equal vectors are one entry of
-a block with the k + 1 smallest of their ids, which is all that a query can need of them.
+One rule ends the search of a query everywhere. A bounded sample of the vectors, the same for all, gives each query a
+radius that its k-th neighbour can't exceed. Vectors are dealt into blocks of bounded size; in a block, windows
+grow up to that radius, or to the k-th best distance found on the way if that is less, and no further: a block that has nothing near
+gives nothing. Answers meet by query. Equal vectors are one entry with the k + 1 smallest of their ids, which is all that a query can need of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from crawlloom.llm.common import written
 
-LINES = 48
-#: Half a window in radii, and the share of the lines on which a vector must collide.
-WIDTH, SHARE = 1.0, 0.55
-FIRST_RADIUS, FACTOR = 0.5, 1.5
-BLOCK, QUERIES = 1024, 2048
+LINES = 64
+#: Half a window in radii, and the share of the lines on which a vector must collide to be verified.
+WIDTH, SHARE = 1.0, 0.56
+#: The growth of the windows from round to round, and the rounds up to the sample's radius.
+FACTOR, ROUNDS = 1.25, 3
+BLOCK, QUERIES = 8192, 2048
+#: Numbers in the sample that gives queries their radius.
+SAMPLE = 1 << 19
 SEED = 17
 
 
@@ -36,61 +40,64 @@ def projections(width: int, lines: int = LINES) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(width, lines))
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    # scaled first, so that squares neither overflow nor vanish
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
+    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+
+
+@dataclass
 class CollisionIndex:
-    """The sorted arrays of one block of vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, lines: int = LINES):
-        order = np.lexsort((ids, *vectors.T[::-1]))
-        ids, vectors = ids[order], vectors[order]
-        new = np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(1)]) if len(ids) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.k, self.ids = k, [ids[a : min(b, a + k + 1)] for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
-        self.vectors = vectors[first]
-        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
-        self.unit = self.vectors / self.norms[:, None]
-        self.lines = projections(vectors.shape[1], lines)
-        values = self.unit @ self.lines
-        self.order = np.argsort(values, 0).T.copy()
+    """The sorted arrays of one block of distinct vectors; ids has the ids of each."""
+
+    ids: list[np.ndarray]
+    vectors: np.ndarray
+    k: int
+    lines: int = LINES
+    verified: int = field(default=0, init=False)
+
+    def __post_init__(self):
+        self.unit = unit(self.vectors)
+        self.line = projections(self.vectors.shape[1], self.lines)
+        values = self.unit @ self.line
+        self.order = np.argsort(values, 0).T.astype(np.int32)
         self.sorted = np.take_along_axis(values.T, self.order, 1)
 
-    def search(self, queries: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(query, id, score) of each query's k nearest found, ties to the smaller id; its own id is none."""
-        norms = np.sqrt((vectors * vectors).sum(1))
-        centres = (vectors / norms[:, None]) @ self.lines
+    def search(self, queries: np.ndarray, vectors: np.ndarray, radius: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(query, id, score) of the k best verified within each query's radius, ties to the smaller id; its own id is none."""
+        asking = unit(vectors)
+        centres = asking @ self.line
         start = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centres.T, strict=True)], 1)
-        size, entries = len(self.unit), sum(map(len, self.ids))
-        own = {int(i) for x in self.ids for i in x}
-        state = [(np.zeros(size, np.int64), np.full(size, -np.inf), start[n].copy(), start[n].copy()) for n in range(len(queries))]
-        open_, radius = list(range(len(queries))), FIRST_RADIUS
-        while open_:
-            half = WIDTH * radius
-            lows = np.stack([np.searchsorted(s, c - half) for s, c in zip(self.sorted, centres[open_].T, strict=True)], 1)
-            highs = np.stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centres[open_].T, strict=True)], 1)
-            rest = []
-            for n, low, high in zip(open_, lows, highs, strict=True):
-                count, score, lo, hi = state[n]
+        size, enough = len(self.unit), SHARE * self.lines
+        state = {n: (np.zeros(size, np.int32), start[n].copy(), start[n].copy(), []) for n in range(len(queries))}
+        reach = radius / FACTOR**ROUNDS
+        while state:
+            at = np.array(list(state))
+            half = WIDTH * reach[at][:, None]
+            lows = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, (centres[at] - half).T, strict=True)], 1)
+            highs = np.stack([np.searchsorted(s, x, "right") for s, x in zip(self.sorted, (centres[at] + half).T, strict=True)], 1)
+            for n, low, high in zip(at.tolist(), lows, highs, strict=True):
+                count, lo, hi, best = state[n]
                 # what the windows have grown by, on both flanks
                 flanks = [o[x:y] for o, x, y in zip(self.order, low.tolist(), lo.tolist(), strict=True)]
                 flanks += [o[x:y] for o, x, y in zip(self.order, hi.tolist(), high.tolist(), strict=True)]
-                count += np.bincount(np.concatenate(flanks), minlength=size)
+                count += np.bincount(np.concatenate(flanks), minlength=size).astype(np.int32)
                 lo[:], hi[:] = low, high
-                fresh = np.flatnonzero((count >= SHARE * len(self.lines.T)) & (score == -np.inf))
+                fresh = np.flatnonzero(count >= enough)
                 if len(fresh):
-                    score[fresh] = (self.vectors[fresh] * vectors[n]).sum(1) / (self.norms[fresh] * norms[n])
-                need = min(self.k, entries - (int(queries[n]) in own))
-                best = self.best(int(queries[n]), score, need)
-                if len(best) == need and (not need or 2 - 2 * best[-1][2] <= radius * radius) or (score > -np.inf).all():
-                    yield from best
+                    self.verified += len(fresh)
+                    count[fresh] = -(1 << 20)
+                    scores = (self.unit[fresh] * asking[n]).sum(1)
+                    best += [(-float(s), int(i)) for f, s in zip(fresh, scores, strict=True) for i in self.ids[f] if i != queries[n]]
+                    best.sort()
+                    del best[self.k :]
+                    if len(best) == self.k:
+                        radius[n] = min(radius[n], np.sqrt(max(0.0, 2 + 2 * best[-1][0])))
+                if reach[n] >= radius[n]:
+                    yield from ((int(queries[n]), i, -s) for s, i in best)
+                    del state[n]
                 else:
-                    rest.append(n)
-            open_, radius = rest, radius * FACTOR
-
-    def best(self, query: int, score: np.ndarray, need: int) -> list[tuple[int, int, float]]:
-        # the query's own id can take up one entry
-        top = min(need + 1, len(score))
-        bound = np.partition(score, -top)[-top] if top else np.inf
-        near = [(query, int(i), float(score[f])) for f in np.flatnonzero((score >= bound) & (score > -np.inf)) for i in self.ids[f] if i != query]
-        return sorted(near, key=lambda x: (-x[2], x[1]))[:need]
+                    reach[n] = min(reach[n] * FACTOR, max(radius[n], reach[n] * 1.0001))
 
 
 def valid(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -101,6 +108,50 @@ def valid(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
 
 
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """(vector, hash, ids): each vector once with the k + 1 smallest of its ids.
+
+    Tasks cut a vector's rows to k + 1 before they are shuffled, so a vector that is shared by a third of the rows is few rows.
+    """
+    keyed = rows.distinct().withColumn("hash", F.xxhash64("vector"))
+    place = F.row_number().over(Window.partitionBy("hash", "vector").orderBy("vec_id"))
+    few = keyed.withColumn("place", place).where(F.col("place") <= k + 1)
+    return few.groupBy("hash", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def matrices(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
+    for width in np.unique(sizes):
+        own = np.flatnonzero(sizes == width)
+        yield own, flat[starts[own][:, None] + np.arange(width)]
+
+
+def bounded(asked: DataFrame, sample: pa.Table, k: int) -> DataFrame:
+    """asked (vec_id, vector) with radius, the distance of the k-th nearest vector of the sample: no neighbour searched for is farther."""
+    known = {m.shape[1]: (unit(m), [sample.column("ids")[int(i)].as_py() for i in own]) for own, m in matrices(sample.column("vector").combine_chunks())} if sample.num_rows else {}
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            radius = np.full(b.num_rows, 2.0)
+            asking = b.column(0).to_numpy()
+            for own, m in matrices(b.column(1)):
+                vectors, ids = known.get(m.shape[1], (np.zeros((0, m.shape[1])), []))
+                sizes = np.array([len(x) for x in ids], np.int64)
+                flat = np.array([i for x in ids for i in x], np.int64)
+                for lo in range(0, len(own), 256):
+                    some = own[lo : lo + 256]
+                    scores = np.repeat(unit(m[lo : lo + 256]) @ vectors.T, sizes, axis=1)
+                    scores[asking[some][:, None] == flat[None, :]] = -1
+                    if scores.shape[1] >= k:
+                        kth = np.partition(scores, -k, axis=1)[:, -k]
+                        radius[some] = np.sqrt(np.maximum(0, 2 - 2 * kth)) + 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(radius)], ["vec_id", "vector", "radius"])
+
+    return asked.select("vec_id", "vector").mapInArrow(batches, "vec_id long, vector array<double>, radius double")
+
+
 def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each vector whose id is divisible by every.
 
@@ -110,30 +161,30 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     the best counts, and as queries one: the first in order of components. Fewer candidates than k give all of them.
     """
     rows = written(valid(df, vec_id, embedding), "vectors")
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
+    held = written(entries(rows, k), "entries")
+    n, width = held.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if not n:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    # at most SAMPLE numbers, or k + 1 vectors
+    most = max(k + 1, SAMPLE // width)
+    sample = held.where(F.pmod("hash", F.lit(max(1, -(-2 * n // (3 * most))))) == 0).select("vector", "ids").limit(most).toArrow()
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    groups = max(1, -(-(n // every) // QUERIES))
-    deal = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))
-    data = rows.select("vec_id", "vector", deal.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(False).alias("asks"))
-    queries = asked.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.lit(True).alias("asks"))
+    asked = written(bounded(asked, sample, k), "queries")
+    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-asked.count() // QUERIES))
+    data = held.select("ids", "vector", F.lit(2.0).alias("radius"), F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(False).alias("asks"))
+    queries = asked.select(F.array("vec_id").alias("ids"), "vector", "radius", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.lit(True).alias("asks"))
 
     def answer(table: pa.Table) -> Iterator[tuple[int, int, float]]:
-        ids, asks = table.column("vec_id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        column = table.column("vector").combine_chunks()
-        sizes = np.diff(column.offsets.to_numpy())
-        flat = column.flatten().to_numpy()
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        for width in np.unique(sizes):
-            own = np.flatnonzero(sizes == width)
-            vectors = flat[starts[own][:, None] + np.arange(width)]
-            held = ~asks[own]
-            if held.any() and not held.all():
-                index = CollisionIndex(ids[own][held], vectors[held], k)
-                asking = np.flatnonzero(~held)
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        ids, radius = table.column("ids").to_pylist(), table.column("radius").to_numpy()
+        for own, vectors in matrices(table.column("vector").combine_chunks()):
+            there = ~asks[own]
+            if there.any() and not there.all():
+                index = CollisionIndex([np.array(ids[i]) for i in own[there]], vectors[there], k)
+                asking = np.flatnonzero(~there)
                 for lo in range(0, len(asking), 256):
                     some = asking[lo : lo + 256]
-                    yield from index.search(ids[own][some], vectors[some])
+                    yield from index.search(np.array([ids[i][0] for i in own[some]]), vectors[some], radius[own[some]].copy())
 
     def answers(table: pa.Table) -> pa.Table:
         got = list(answer(table))

@@ -37,6 +37,38 @@ def test_recall_and_contract(spark):
     assert list(got[got.query_id == 0].sort_values("rank").vec_id) == [3000, 3001, 3002, 3003, 3004]
 
 
+def test_few_are_verified():
+    """The method does the work: on 50,000 vectors, less than a tenth collide often enough to be verified, and the neighbours are among them."""
+    rng = np.random.default_rng(8)
+    n, width, k = 50_000, 32, 5
+    vectors = rng.normal(size=(200, width))[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, width))
+    unit = neighbors.unit(vectors)
+    queries = np.arange(0, n, 500)
+    sample = unit[rng.permutation(n)[:4000]]
+    radius = np.sqrt(2 - 2 * np.partition(unit[queries] @ sample.T, -k - 1, axis=1)[:, -k - 1])
+    hit = verified = 0
+    found: dict = {}
+    for lo in range(0, n, neighbors.BLOCK):
+        some = np.arange(lo, min(n, lo + neighbors.BLOCK))
+        index = neighbors.CollisionIndex([np.array([i]) for i in some], vectors[some], k)
+        for q, i, s in index.search(queries, vectors[queries], radius.copy()):
+            found.setdefault(q, []).append((-s, i))
+        verified += index.verified
+    for q in queries:
+        scores = unit @ unit[q]
+        scores[q] = -1
+        hit += len({i for _, i in sorted(found[q])[:k]} & set(np.argpartition(-scores, k)[:k].tolist()))
+    assert hit >= 0.95 * k * len(queries)
+    assert verified < 0.1 * n * len(queries)
+
+
+def test_extreme_lengths(spark):
+    """Scores are right where squares overflow or vanish."""
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3.0, 3.0]), (3, [0.0, -1e300])]
+    got = {r["vec_id"]: r["score"] for r in neighbors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert list(got) == [2, 1, 3] and np.allclose(list(got.values()), [1, math.sqrt(0.5), -math.sqrt(0.5)])
+
+
 def test_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in neighbors.nearest(df).orderBy("rank").collect()]
