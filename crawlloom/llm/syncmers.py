@@ -3,8 +3,9 @@
 Letters are a text's words, or its characters where it has few words or none but very long ones. Of the k-mers (K words) those are chosen whose smallest
 s-mer (S words, by hash) stands at their beginning or end. Whether a k-mer is chosen depends
 on nothing outside it, so equal passages give equal anchors wherever they stand, with their positions.
-A fingerprint is the sketch of the smallest hashes of the anchors; the likeness of
-two fingerprints estimates the resemblance of the anchor sets.
+A fingerprint is all anchors in order, each tied to the next one and to the distance between their positions. Two
+texts match where they have the same ties: the same anchors one after the other, as far apart, wherever in the texts that is. Their likeness is the
+resemblance of the two sets of ties, so what is put elsewhere matches but for its edges, and the same anchors in another order don't.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from crawlloom.llm.common import content_key, written
 
 K, S = 5, 2
-#: Hashes in a sketch.
-SKETCH = 64
+#: Bits of a tie. Two different ones among a million in two texts agree by chance with a probability of 2 in 10,000.
+BITS = 32
 #: Texts of fewer words, or of longer ones in the mean, are taken by characters.
 FEW, LONG = 2 * K, 20
 LAST = (1 << 63) - 1
@@ -67,8 +68,7 @@ def anchors_of(tokens: Column) -> Column:
         closed = F.filter(kmers(h, lambda ok, i, x: F.when(ok, F.struct(i.alias("pos"), x.alias("hash")))), lambda a: a.isNotNull())
 
         def smallest() -> Column:
-            # by the bits that a sketch keeps and in their order
-            low = F.array_min(kmers(h, lambda ok, i, x: F.struct(F.shiftrightunsigned(x, 32).alias("order"), i.alias("pos"), x.alias("hash"))))
+            low = F.array_min(kmers(h, lambda ok, i, x: F.struct(x.alias("order"), i.alias("pos"), x.alias("hash"))))
             return F.array(F.struct(low["pos"].alias("pos"), low["hash"].alias("hash")))
 
         return let(closed, lambda c: F.when(F.size(c) > 0, c).otherwise(smallest()))
@@ -81,23 +81,32 @@ def anchors_of(tokens: Column) -> Column:
     return let(tokens, both)
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH smallest of the anchors' hashes, as unsigned 32-bit numbers in order."""
-    hashes = F.transform(anchors_of(letters(text)), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+def ties(text: Column) -> Column:
+    """All anchors of a whole text in order, each as BITS bits of a hash of itself, the next anchor and the distance to it; the last stands alone."""
+
+    def tied(a: Column) -> Column:
+        def tie(x: Column, i: Column) -> Column:
+            after = F.get(a, i + 1)
+            # what is null doesn't change the hash
+            return F.shiftright(F.xxhash64(x["hash"], after["hash"], after["pos"] - x["pos"]), 64 - BITS).cast("int")
+
+        return F.transform(a, tie)
+
+    return let(anchors_of(letters(text)), tied)
 
 
 def as_text(numbers: Column) -> Column:
-    """A sketch as hexadecimal digits, eight for each hash."""
-    return F.array_join(F.transform(numbers, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """Ties as hexadecimal digits, eight for each."""
+    return F.array_join(F.transform(numbers, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit((1 << BITS) - 1))), BITS // 4, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the smallest hashes of both sketches that are in both; 1 for two empty sketches."""
-    return let(
-        F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH),
-        lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.greatest(F.size(u), F.lit(1))),
-    )
+    """The share of the different ties of both texts that both have; 1 for two texts without any."""
+
+    def share(both: Column, every: Column) -> Column:
+        return F.when(every == 0, F.lit(1.0)).otherwise(both / F.greatest(every, F.lit(1)))
+
+    return let(F.size(F.array_intersect(a, b)), lambda both: let(F.size(F.array_union(a, b)), lambda every: share(both, every)))
 
 
 def anchors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +133,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likenesses.
+    """Fingerprints of every document and of its edited text, and their likenesses, from all anchors of the whole texts.
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of
     the next document in order of doc_id; after the last comes the first, a null doc_id is last.
@@ -138,15 +147,15 @@ def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chain = neighbours(source.select("pos", "key", F.length("text").alias("n_chars")).distinct())
     docs = source.groupBy("pos", "key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
     docs = docs.join(chain, ["pos", "key"])
-    heads = docs.where("times > 0 and (doc_id is null or doc_id = doc_id)").select(
-        F.col("prev_pos").alias("pos"), F.col("prev_key").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), sketch(F.col("text")).alias("next_sketch")
+    heads = docs.select(
+        F.col("prev_pos").alias("pos"), F.col("prev_key").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), F.array_distinct(ties(F.col("text"))).alias("next_ties")
     )
     n = F.length("text")
     joined = docs.select("pos", "key", "doc_id", "text", "times").join(heads, ["pos", "key"])
     joined = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), "head"))
-    sketched = joined.select("doc_id", "times", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"), "next_sketch")
-    out = sketched.select(
+    tied = joined.select("doc_id", "times", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), ties(F.col("text")).alias("own"), ties(F.col("edited")).alias("changed"), "next_ties")
+    out = tied.select(
         "doc_id", "times", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_ties")).alias("near_next"),
     )
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "_copy")
