@@ -17,11 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlloom.llm.common import written
+from crawlloom.scratch import Growing
 
 #: (action, host and path); the longest that fits decides.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Levels of the tree; what is deeper is one wildcard.
-DEPTH = 5
 #: Children of a node from which on they can be values instead of branches, and the mean of pages they must have to be branches.
 MANY, MEAN = 16, 4
 Z = 2.58
@@ -57,23 +56,35 @@ def decided(rules: tuple[tuple[str, str], ...], host: Column, path: Column) -> t
 
 
 def segments(path: Column) -> Column:
-    """The path's non-empty segments with wildcards for values; what is below DEPTH is one more."""
+    """The path's non-empty segments with wildcards for values."""
 
     def shape(s: Column) -> Column:
         return reduce(lambda rest, x: F.when(s.rlike(x[0]), F.lit(x[1])).otherwise(rest), reversed(SHAPES), s)
 
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    deep = F.when(F.size(parts) > DEPTH, F.array(F.lit("{rest}"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(F.slice(parts, 1, DEPTH), shape), deep)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
 
 
 def templates(urls: DataFrame, z: float = Z, many: int = MANY, mean: float = MEAN, block: float = BLOCK) -> DataFrame:
-    """(host, segs, template, n, labelled, bad) for every host and path shape of urls (host, segs, bad or null)."""
+    """(host, segs, template, n, labelled, bad) for every host and path shape of urls (host, segs, bad or null).
+
+    The tree has as many levels as the paths have segments. A branch with fewer than two labelled urls can't be parted any more, so
+    what is left of its paths is wildcards at once, and the levels worked on are no more than labelled paths have in common.
+    """
     tree = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")).withColumn("template", F.lit(""))
     tree = written(tree, "templates")
-    for level in range(1, DEPTH + 2):
-        below = tree.withColumn("child", F.get("segs", F.lit(level - 1)))
-        children = below.where("child is not null").groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    done, level = None, 0
+    while True:
+        parted = tree.groupBy("host", "template").agg(F.sum("labelled").alias("known")).where("known > 1").select("host", "template", F.lit(True).alias("parted"))
+        tree = tree.join(parted, ["host", "template"], "left")
+        goes_on = F.col("parted").isNotNull() & (F.size("segs") > level)
+        rest = F.concat("template", F.repeat(F.lit("/*"), F.size("segs") - level))
+        ended = tree.where(~goes_on).select("host", "segs", "n", "labelled", "bad", rest.alias("template"))
+        if done is None:
+            done = Growing(ended, "templates-done")
+        else:
+            done.add(ended)
+        below = tree.where(goes_on).drop("parted").withColumn("child", F.get("segs", F.lit(level)))
+        children = below.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         low = F.col("bad") < block * F.col("labelled")
         own_low = [F.when(low, F.col(c)).otherwise(0) for c in ("labelled", "bad")]
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("all_n"), *[F.sum(x).alias(f"low_{c}") for x, c in zip(own_low, ("labelled", "bad"), strict=True)])
@@ -84,12 +95,12 @@ def templates(urls: DataFrame, z: float = Z, many: int = MANY, mean: float = MEA
         # a child with enough pages of its own is tested whatever its siblings have
         few = (F.col("k") < many) | (F.col("all_n") >= mean * F.col("k")) | (F.col("n") >= mean)
         known = children.join(nodes, ["host", "template"]).where(few & (F.col("labelled") > 0) & (others > 0))
-        own = known.where(apart > z * error)
-        own = own.select("host", "template", "child", F.lit(True).alias("own"))
-        step = F.when(F.col("child").isNull(), "").when(F.col("own"), F.concat(F.lit("/"), "child")).otherwise("/*")
-        tree = below.join(own, ["host", "template", "child"], "left").select("host", "segs", "n", "labelled", "bad", F.concat("template", step).alias("template"))
-        tree = written(tree, "templates")
-    return tree
+        own = known.where(apart > z * error).select("host", "template", "child", F.lit(True).alias("own"))
+        step = F.when(F.col("own"), F.concat(F.lit("/"), "child")).otherwise("/*")
+        tree = written(below.join(own, ["host", "template", "child"], "left").select("host", "segs", "n", "labelled", "bad", F.concat("template", step).alias("template")), "templates")
+        if tree.isEmpty():
+            return done.rows()
+        level += 1
 
 
 def judged(tree: DataFrame, prior: float = PRIOR, block: float = BLOCK) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -62,3 +64,82 @@ def test_large_section_beside_many_small_ones(spark):
     labels = [(i, int(i < 1000)) for i, _ in rows]
     got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "label_id long, bad int"), rules=()).toPandas()
     assert set(got[got.verdict == "block"].page_id) == set(range(60))
+
+
+def brute_templates(rows, z=urlfilter.Z, many=urlfilter.MANY, mean=urlfilter.MEAN, block=urlfilter.BLOCK):
+    """{(host, segments): template} by recursion over the whole tree; rows are (host, segments, bad or None)."""
+    out = {}
+
+    def part(group, template, level):
+        for h, s, _ in group:
+            if len(s) == level:
+                out[h, s] = template
+        children: dict = {}
+        for r in group:
+            if len(r[1]) > level:
+                children.setdefault(r[1][level], []).append(r)
+        count = {c: (len(g), sum(b is not None for *_, b in g), sum(b or 0 for *_, b in g)) for c, g in children.items()}
+        low = {c: x for c, x in count.items() if x[2] < block * x[1]}
+        merged = []
+        for c, (n, known, bad) in count.items():
+            other = [x for k, x in low.items() if k != c]
+            o, ob = sum(x[1] for x in other), sum(x[2] for x in other)
+            own = False
+            if (len(count) < many or sum(x[0] for x in count.values()) >= mean * len(count) or n >= mean) and known and o:
+                p = (bad + ob) / (known + o)
+                own = abs(bad / known - ob / o) > z * math.sqrt(p * (1 - p) * (1 / known + 1 / o))
+            if own:
+                part(children[c], f"{template}/{c}", level + 1)
+            else:
+                merged += children[c]
+        if merged:
+            part(merged, template + "/*", level + 1)
+
+    for host in {h for h, *_ in rows}:
+        part([r for r in rows if r[0] == host], "", 0)
+    return out
+
+
+def brute_blocked(rows, template, prior=urlfilter.PRIOR, block=urlfilter.BLOCK):
+    known = lambda some: (sum(b or 0 for *_, b in some), sum(b is not None for *_, b in some))
+    a, n = known(rows)
+    total = min(1.0, (a + 1) / (n + prior))
+    out = set()
+    for h, s, _ in rows:
+        a, n = known([r for r in rows if r[0] == h])
+        share = (a + prior * total) / (n + prior)
+        a, n = known([r for r in rows if r[0] == h and template[r[0], r[1]] == template[h, s]])
+        if (a + prior * share) / (n + prior) >= block:
+            out.add((h, s))
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    """Trees of any depth, with bad sections at several levels."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        host = f"h{i % 3}.test"
+        s = tuple(rng.choice("abcd") for _ in range(rng.randint(0, 9))) + (("slots",) + tuple(rng.choice("xy") for _ in range(rng.randint(0, 3))) if rng.random() < 0.15 else ())
+        if rng.random() < 0.2:
+            s = ("a", "b", "c", "d", "a", "b", rng.choice(["good", "worse"]), f"p{rng.randrange(200)}")
+        bad = int("slots" in s[:1] or "worse" in s or rng.random() < 0.05)
+        rows.append((host, s, bad if rng.random() < 0.6 else None))
+    df = spark.createDataFrame([(h, list(s), b) for h, s, b in rows], "host string, segs array<string>, bad int").repartition(3)
+    tree = urlfilter.templates(df)
+    want = brute_templates(rows)
+    got = {(r["host"], tuple(r["segs"])): r["template"] for r in tree.collect()}
+    assert any("/worse" in t for t in want.values())
+    flat = lambda t: {k: re.sub(r"(/\*)+$", "/*", v) for k, v in t.items()}
+    assert set(got) == set(want)
+    # a branch without labels to part it ends in wildcards; the verdicts are those of the whole tree
+    assert {(r["host"], tuple(r["segs"])) for r in urlfilter.judged(tree).where("blocked").collect()} == brute_blocked(rows, got)
+    known = {(h, s) for h, s, b in rows if b is not None}
+    assert {k: v for k, v in flat(got).items() if k in known} == {k: v for k, v in flat(want).items() if k in known}
+
+
+def test_deep_and_long_urls(spark):
+    deep = "https://d.test" + "/s" * 3000
+    rows = [(1, deep), (2, deep + "/x"), (3, "https://d.test/" + "q" * 500_000), (4, "https://d.test" + "/" * 2000)]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1, 1)], "label_id long, bad int")).collect()
+    assert len(got) == 4 and {r["path"] for r in got} == {u[14:] for _, u in rows}
