@@ -57,6 +57,13 @@ def forget(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._scratch_path)
 
 
+def settle(*tables: DataFrame) -> None:
+    """forget(), and the shuffle files of finished jobs too: Spark deletes them when the JVM collects what refers to them, which is asked for here."""
+    forget(*tables)
+    for df in tables[:1]:
+        df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
