@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,7 +51,9 @@ BAD = {
 }
 KINDS = {word: kind for kind, words in enumerate(BAD.values()) for word in words}
 TAGS = {t: i for i, t in enumerate("#text p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt table tr td th blockquote pre figure figcaption article main section div body html aside nav header footer form address".split())}
-FEATURES = 34
+
+#: The share of training pages without telling names, so that the trees look at structure too.
+RENAMED = 0.3
 
 
 class Node:
@@ -186,6 +189,24 @@ def features(nodes: list[Node]) -> np.ndarray:
         above_bad[i] = above_bad[p] | bad[p]
         above_kind[i] = np.maximum(above_kind[p], kind[p])
     chars, total = below[:, 0], max(1.0, below[0, 0])
+    # what siblings tell: the one before, the heaviest, and how many are built alike
+    inner: list[list[str]] = [[] for _ in nodes]
+    for i in range(1, n):
+        inner[parent[i]].append(nodes[i].tag)
+    alike = Counter((parent[i], nodes[i].tag, *inner[i]) for i in range(1, n))
+    heaviest, passed, after_it = np.zeros(n), np.zeros(n), np.zeros(n)
+    np.maximum.at(heaviest, parent[1:], chars[1:])
+    last: dict[int, int] = {}
+    twins, tag_before, share_of = np.ones(n), np.full(n, -1.0), np.ones(n)
+    for i in range(1, n):
+        p = parent[i]
+        twins[i] = alike[(p, nodes[i].tag, *inner[i])]
+        tag_before[i] = TAGS.get(nodes[last[p]].tag, 40) if p in last else -1
+        share_of[i] = chars[i] / max(1.0, heaviest[p])
+        after_it[i] = max(after_it[p], passed[p])
+        passed[p] = max(passed[p], chars[i] == heaviest[p])
+        last[p] = i
+    first_inner = np.array([TAGS.get(x[0], 40) if x else -1 for x in inner], np.float64)
     words = np.maximum(below[:, 2], 1)
     before = np.concatenate([[0], np.cumsum(own[:, 0])[:-1]])
     bits = np.array([bad, above_bad]).T
@@ -202,6 +223,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             np.log1p(below[:, 2]), below[:, 5], below[:, 6], below[:, 4],
             [x.depth for x in nodes], first_place, kids[up], chars / np.maximum(chars[up], 1),
             before / total, kids,
+            twins, twins[up], tag_before, tag_before[up], share_of, share_of[up], after_it, first_inner,
         ]
     )
     return out.astype(np.float64)
@@ -318,13 +340,21 @@ def written_page(rng: random.Random) -> tuple[str, list[str]]:
 written_page.words = [a + b for a in ("ab", "ter", "on", "li", "ve", "ras", "un", "mo", "e", "st") for b in ("a", "ing", "er", "o", "ul", "ent", "is", "yon")]
 
 
+def renamed(page: str, rng: random.Random) -> str:
+    """The page with class names, ids and roles that say nothing, each name replaced by the same word everywhere."""
+    names: dict[str, str] = {}
+    return re.sub(r'(class|id|role)="([^"]*)"', lambda m: f'{m[1]}="{names.setdefault(m[2], rng.choice(written_page.words) + str(rng.randrange(99)))}"', page)
+
+
 @lru_cache(2)
-def model(pages: int = 900, seed: int = 11) -> BoostedTrees:
-    """Boosted trees fitted to pages of written_page; a container counts as main text if any is below it."""
+def model(pages: int = 1500, seed: int = 11) -> BoostedTrees:
+    """Boosted trees fitted to pages of written_page, RENAMED of them by renamed(); a container counts as main text if any is below it."""
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
         page, main = written_page(rng)
+        if rng.random() < RENAMED:
+            page = renamed(page, rng)
         nodes = parse(page)
         # the article's blocks follow one another in page order
         label, at = np.zeros(len(nodes)), 0

@@ -19,6 +19,26 @@ def test_synthetic_pages(trees):
     assert right >= 190
 
 
+def test_names_that_say_nothing(trees):
+    """Layouts without any name of the lists, such as comments in a box called otherwise, are told by their structure."""
+    rng = random.Random(77)
+    right = total = found = both = 0
+    for _ in range(200):
+        page, main = html.written_page(rng)
+        got = html.main_texts([html.renamed(page, rng)], trees)[0].split("\n\n")
+        right += got == main
+        total, found, both = total + len(main), found + len(got), both + len(set(got) & set(main))
+    assert right >= 120 and both >= 0.9 * total and both >= 0.85 * found
+
+
+def test_own_layout(trees):
+    """A page of a layout that the training pages don't have, with names that are in no list."""
+    text = [f"This is paragraph number {i} of the report, and it goes on for some words, as such paragraphs do." for i in range(6)]
+    said = "".join(f"<div class='u7'><span class='u8'>Reader {i}</span><p>Nice text, thanks.</p></div>" for i in range(3))
+    page = f"<html><body><div class='u1'><a href='/'>Start</a> <a href='/x'>Other</a></div><div class='u2'><h1>The report</h1>{''.join(f'<p>{t}</p>' for t in text)}</div><div class='u6'><h3>Responses</h3>{said}</div><div class='u9'>2020 Somebody</div></body></html>"
+    assert html.main_texts([page], trees) == ["\n\n".join(["The report", *text])]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>x</p>";</script></head><body>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href="/a">A one</a></li><li><a href="/b">B two</a></li></ul></nav>
 <!-- ad <p>no</p> --><div class="ad">Buy this now, it is cheap.</div>{0}
