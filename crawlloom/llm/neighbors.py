@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from crawlloom.llm.common import written
 
-LINES = 64
+LINES = 96
 #: Half a window in radii, and the share of the lines on which a vector must collide to be verified.
-WIDTH, SHARE = 1.0, 0.56
+WIDTH, SHARE = 1.5, 0.83
 #: The growth of the windows from round to round, and the rounds up to the sample's radius.
-FACTOR, ROUNDS = 1.25, 3
-BLOCK, QUERIES = 8192, 2048
+FACTOR, ROUNDS = 1.5, 2
+BLOCK, QUERIES = 32768, 512
 #: Numbers in the sample that gives queries their radius.
 SAMPLE = 1 << 19
 SEED = 17
@@ -67,37 +67,57 @@ class CollisionIndex:
         """(query, id, score) of the k best verified within each query's radius, ties to the smaller id; its own id is none."""
         asking = unit(vectors)
         centres = asking @ self.line
-        start = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centres.T, strict=True)], 1)
-        size, enough = len(self.unit), SHARE * self.lines
-        state = {n: (np.zeros(size, np.int32), start[n].copy(), start[n].copy(), []) for n in range(len(queries))}
-        reach = radius / FACTOR**ROUNDS
-        while state:
-            at = np.array(list(state))
-            half = WIDTH * reach[at][:, None]
-            lows = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, (centres[at] - half).T, strict=True)], 1)
-            highs = np.stack([np.searchsorted(s, x, "right") for s, x in zip(self.sorted, (centres[at] + half).T, strict=True)], 1)
-            for n, low, high in zip(at.tolist(), lows, highs, strict=True):
-                count, lo, hi, best = state[n]
-                # what the windows have grown by, on both flanks
-                flanks = [o[x:y] for o, x, y in zip(self.order, low.tolist(), lo.tolist(), strict=True)]
-                flanks += [o[x:y] for o, x, y in zip(self.order, hi.tolist(), high.tolist(), strict=True)]
-                count += np.bincount(np.concatenate(flanks), minlength=size).astype(np.int32)
-                lo[:], hi[:] = low, high
-                fresh = np.flatnonzero(count >= enough)
+        first = radius / FACTOR**ROUNDS
+        lows, highs = self.windows(centres, first)
+        for n, query in enumerate(queries.tolist()):
+            reach, low, high = first[n], lows[n], highs[n]
+            count = self.collisions(low, high)
+            best: list[tuple[float, int]] = []
+            while True:
+                fresh = np.flatnonzero(count >= SHARE * self.lines)
                 if len(fresh):
                     self.verified += len(fresh)
                     count[fresh] = -(1 << 20)
-                    scores = (self.unit[fresh] * asking[n]).sum(1)
-                    best += [(-float(s), int(i)) for f, s in zip(fresh, scores, strict=True) for i in self.ids[f] if i != queries[n]]
-                    best.sort()
-                    del best[self.k :]
+                    best = self.better(best, fresh, asking[n], query)
                     if len(best) == self.k:
                         radius[n] = min(radius[n], np.sqrt(max(0.0, 2 + 2 * best[-1][0])))
-                if reach[n] >= radius[n]:
-                    yield from ((int(queries[n]), i, -s) for s, i in best)
-                    del state[n]
-                else:
-                    reach[n] = min(reach[n] * FACTOR, max(radius[n], reach[n] * 1.0001))
+                if reach >= radius[n]:
+                    break
+                # the next window: wider by the factor, but no wider than the radius that is left
+                reach = min(reach * FACTOR, radius[n])
+                (wide_low,), (wide_high,) = self.windows(centres[n : n + 1], np.array([reach]))
+                count += self.counted([(x, y) for x, y in zip(wide_low, low, strict=True)], [(x, y) for x, y in zip(high, wide_high, strict=True)])
+                low, high = wide_low, wide_high
+            yield from ((query, i, -s) for s, i in best)
+
+    def windows(self, centres: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and line where its window begins and ends in the line's array."""
+        half = WIDTH * reach[:, None]
+        low = [np.searchsorted(s, x) for s, x in zip(self.sorted, (centres - half).T, strict=True)]
+        high = [np.searchsorted(s, x, "right") for s, x in zip(self.sorted, (centres + half).T, strict=True)]
+        return np.stack(low, 1), np.stack(high, 1)
+
+    def counted(self, *parts: list[tuple[int, int]]) -> np.ndarray:
+        """How often each vector is in these parts of the lines' arrays, one of each line in each list."""
+        pieces = [o[x:y] for spans in parts for o, (x, y) in zip(self.order, spans, strict=True)]
+        return np.bincount(np.concatenate(pieces), minlength=len(self.unit))
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The lines on which each vector is in the window; counted by what is inside or by what is outside, whichever is less."""
+        size = len(self.unit)
+        if 2 * (high - low).sum() <= size * self.lines:
+            return self.counted(list(zip(low, high, strict=True)))
+        return self.lines - self.counted([(0, x) for x in low], [(x, size) for x in high])
+
+    def better(self, best: list[tuple[float, int]], fresh: np.ndarray, asking: np.ndarray, query: int) -> list[tuple[float, int]]:
+        """The k best of those known and the fresh vectors, as (minus the cosine, id) in order."""
+        scores = (self.unit[fresh] * asking).sum(1)
+        # the query's own id can take up one place
+        if len(fresh) > self.k + 1:
+            bound = np.partition(scores, -self.k - 1)[-self.k - 1]
+            fresh, scores = fresh[scores >= bound], scores[scores >= bound]
+        best = best + [(-float(s), int(i)) for f, s in zip(fresh, scores, strict=True) for i in self.ids[f] if i != query]
+        return sorted(best)[: self.k]
 
 
 def valid(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
