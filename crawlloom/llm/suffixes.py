@@ -265,7 +265,6 @@ def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
     recur with all of their surroundings and go anywhere, so a frequent passage is few rows in one place.
     """
     names = ["part", "mark", "around", "before", "after", "pos", "key", "at", "state"]
-    parts = shuffle_partitions(df.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -296,16 +295,16 @@ def occurrences(df: DataFrame, length: int, k: int) -> DataFrame:
                 own = [_int64(b.column(c).to_numpy()[row]) for c in (0, 1)]
                 # by row and place, so that copies of one passage go to different parts
                 salt = (own[1].to_numpy().view(np.uint64) ^ at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-                spread = np.where(state == 2, salt, mark) % np.uint64(parts)
+                spread = np.where(state == 2, salt, mark)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(spread.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(around.view(np.int64)),
+                        pa.array(spread.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(around.view(np.int64)),
                         pa.array((at - begin).astype(np.int32)), pa.array((end - at).astype(np.int32)), *own, pa.array(at.astype(np.int32)), pa.array(state),
                     ],
                     names,
                 )
 
-    return df.mapInArrow(batches, "part int, mark long, around long, before int, after int, pos long, key long, at int, state byte")
+    return df.mapInArrow(batches, "part long, mark long, around long, before int, after int, pos long, key long, at int, state byte")
 
 
 def recurring(rows: DataFrame) -> DataFrame:
