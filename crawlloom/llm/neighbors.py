@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from crawlloom.llm.common import written
 
-LINES = 96
+LINES = 128
 #: Half a window in radii, and the share of the lines on which a vector must collide to be verified.
-WIDTH, SHARE = 1.5, 0.83
+WIDTH, SHARE = 1.5, 0.825
 #: The growth of the windows from round to round, and the rounds up to the sample's radius.
 FACTOR, ROUNDS = 1.5, 2
 BLOCK, QUERIES = 32768, 512
