@@ -147,7 +147,8 @@ def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chain = neighbours(source.select("pos", "key", F.length("text").alias("n_chars")).distinct())
     docs = source.groupBy("pos", "key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
     docs = docs.join(chain, ["pos", "key"])
-    heads = docs.select(
+    # always true, but it reads every column: so both uses of docs need the same shuffle of the texts, which is then made once
+    heads = docs.where("times > 0 and (doc_id is null or doc_id = doc_id)").select(
         F.col("prev_pos").alias("pos"), F.col("prev_key").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), F.array_distinct(ties(F.col("text"))).alias("next_ties")
     )
     n = F.length("text")
