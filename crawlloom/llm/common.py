@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlloom.scratch import forget, scratch_dir, written
+from crawlloom.scratch import forget, scratch_dir, settle, written
 
-__all__ = ["content_key", "forget", "scratch_dir", "shuffle_partitions", "table", "written"]
+__all__ = ["content_key", "forget", "scratch_dir", "settle", "shuffle_partitions", "table", "written"]
 
 
 

@@ -166,12 +166,17 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
+def used(r: np.ndarray, spare: float) -> np.ndarray:
+    """The rates that count: those of at least spare and below 1 count as 1."""
+    return np.where((r >= spare) & (r < 1), 1.0, r)
+
+
 def _posteriors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def moments(members: DataFrame, steps: list[np.ndarray], tried: list[np.ndarray]) -> np.ndarray:
-    """For each step tried after steps: the domains' expected tokens, and their second moments over documents of positive rate.
+def moments(members: DataFrame, steps: list[np.ndarray], tried: list[np.ndarray], spare: float = 1.0) -> np.ndarray:
+    """For each step tried after steps: the domains' expected tokens at the rates that count, and their second moments over documents of positive rate.
 
     Tasks add up their documents, so a round moves a few numbers a task and its plan is the same in every round.
     """
@@ -186,7 +191,7 @@ def moments(members: DataFrame, steps: list[np.ndarray], tried: list[np.ndarray]
             before = rates(p, steps)
             for n, u in enumerate(tried):
                 r = np.maximum(0.0, before - p @ u)
-                total[n, :d] += (r * t) @ p
+                total[n, :d] += (used(r, spare) * t) @ p
                 total[n, d:] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total.ravel())], ["at", "x"])
 
@@ -196,7 +201,7 @@ def moments(members: DataFrame, steps: list[np.ndarray], tried: list[np.ndarray]
     return out.reshape(len(tried), d * (d + 1))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), spare: float = 1.0, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The steps of the fit, the domains' targets in tokens, and what the rates give.
 
     The total is that of members, raised so far that no domain in keep has to shrink. A round tries several steps in one pass and
@@ -208,7 +213,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], keep: tuple[str, ..
     share = np.array(list(targets.values()))
     share = share / share.sum()
     steps: list[np.ndarray] = []
-    first = moments(members, steps, [np.zeros(d)])[0]
+    first = moments(members, steps, [np.zeros(d)], spare)[0]
     have, second = first[:d], first[d:].reshape(d, d)
     length = 1 / max(np.linalg.eigvalsh(second)[-1], 1e-9)
     goal = share * max([have.sum()] + [have[i] / share[i] for i, name in enumerate(targets) if name in keep and share[i] > 0])
@@ -216,7 +221,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], keep: tuple[str, ..
     while np.abs(have - goal).max() > tolerance * goal.sum() and slow < STALL:
         scaled = np.linalg.solve(second + 1e-6 * max(np.trace(second), 1e-9) * np.eye(d), have - goal)
         tried = [scaled, scaled / 4, *[length * 8.0**k * (have - goal) for k in range(4)]]
-        got = moments(members, steps, tried)
+        got = moments(members, steps, tried, spare)
         best = np.linalg.norm(got[:, :d] - goal, axis=1).argmin()
         now = np.linalg.norm(got[best, :d] - goal)
         if now >= left:
@@ -243,7 +248,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """(doc_id, key, n_words, p_<domain>..., rate, copies, missed) of every document.
 
     copies is the rate rounded up or down by a hash of the document, so that its expectation is
-    the rate; rates of at least spare and below 1 count as 1. missed is the same in every row: how far the domain farthest from
+    the rate; rates of at least spare and below 1 count as 1, which the fit knows. missed is the same in every row: how far the domain farthest from
     its target is off, as a share of all tokens; it is above TOLERANCE only where no nonnegative rates meet the targets. Tokens
     are white-space words here. Null and empty texts have none; their rate follows from the posteriors like any other. A null doc_id
     is never labelled and otherwise as good as any. Repeated rows have equal results; an empty table gives an empty result.
@@ -251,9 +256,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     model = fit_classifier(docs, labels, list(targets), labelled, doc_id, text)
     members = written(memberships(docs, model, doc_id, text), "memberships")
-    steps, goal, have = fit_rates(members, targets, keep)
+    steps, goal, have = fit_rates(members, targets, keep, spare)
     missed = float(np.abs(have - goal).max() / max(goal.sum(), 1e-12))
-    used = F.when((F.col("rate") >= spare) & (F.col("rate") < 1), F.lit(1.0)).otherwise(F.col("rate"))
+    counts = F.when((F.col("rate") >= spare) & (F.col("rate") < 1), F.lit(1.0)).otherwise(F.col("rate"))
     chance = F.shiftrightunsigned(F.xxhash64("key", F.lit("mix")), 11) / F.lit(float(1 << 53))
     shares = [F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(targets)]
-    return rated(members, steps).select("doc_id", "key", "n_words", *shares, "rate", F.floor(used + chance).cast("long").alias("copies"), F.lit(missed).alias("missed"))
+    return rated(members, steps).select("doc_id", "key", "n_words", *shares, "rate", F.floor(counts + chance).cast("long").alias("copies"), F.lit(missed).alias("missed"))

@@ -11,7 +11,7 @@ shard come the links of a spanning forest, at most one for each of its members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,11 +34,11 @@ CHUNK = 1 << 16
 SHARD = 512
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The SimHash of a whole text, repeats of a shingle included."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The unsigned hashes of a whole text's shingles in order, repeats included, CHUNK at a time; fewer words than a shingle are one, none have none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -46,11 +46,23 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts, ends = starts[: len(tokens) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), CHUNK):
-        h = np.array([digest(line[s:e], SEED) for s, e in zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)], ">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
+        yield np.array([digest(line[s:e], SEED) for s, e in zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)], np.uint64)
+
+
+def folded(chunks: Iterable[np.ndarray]) -> int:
+    """The SimHash of these hashes: the bits that over half of them have."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in chunks:
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The SimHash of a whole text, repeats of a shingle included."""
+    return folded(shingle_hashes(text, words))
 
 
 def fingerprints(df: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -75,5 +75,9 @@ def test_edges(spark):
     assert len(odd) == 46 and odd.n_words.max() == 300_001 and odd.doc_id.isna().sum() == 1
     flat = mixing.mix(docs, labels.limit(0)).toPandas()
     assert np.allclose(flat.p_good, 1 / 3)
+    odd = mixing.mix(docs, labels, {"good": 0.93, "poor": 0.06, "toxic": 0.01}, keep=("good",), spare=0.5).toPandas()
+    counts = mixing.used(odd.rate.to_numpy(), 0.5) * odd.n_words
+    share = (odd[["p_good", "p_poor", "p_toxic"]].to_numpy() * counts.to_numpy()[:, None]).sum(0)
+    assert np.abs(share / share.sum() - [0.93, 0.06, 0.01]).max() < max(0.02, 2 * odd.missed[0])
     kept = mixing.mix(docs, labels, {"good": 0.6, "poor": 0.39, "toxic": 0.01}, keep=("good", "poor"), spare=0.5).toPandas()
     assert (kept[kept.rate >= 0.5].copies >= 1).all()
