@@ -33,37 +33,39 @@ def _plain(url: Column) -> Column:
     return urls.ok(url) & ((p == "/") | ~p.endswith("/"))
 
 
-def _times(values: str, value: str) -> Column:
-    return F.size(F.filter(values, lambda x: x == value))
+def facts(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, key, canonical, severity, reason, n_variants) of every URL that occurs in several rows.
+
+    Two aggregations whose state has a fixed size however many rows a key has: one for the first URL and the group's other
+    facts, one for the votes of its rows. Tasks reduce their rows before either is shuffled.
+    """
+    rows = as_pages(pages, keys).select(*keys, urls.key_of(F.col("url")).alias("key"), "pos", "url")
+    by = [*keys, "key"]
+    found = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min_by("url", F.struct("pos", "url")).alias("first"), (F.min("url") == F.max("url")).alias("exact"), F.min_by("url", F.when(_plain(F.col("url")), F.struct("pos", "url"))).alias("plain")
+    )
+    found = found.where("n > 1")
+    # the exact duplicate's reason needs no vote
+    given = reason(F.col("first"), F.col("url"))
+    voted = rows.join(found.where(~F.col("exact")).select(*by, "first"), by).groupBy(*by).agg(*[F.count_if(given == r).alias(f"votes_{i}") for i, r in enumerate(PRIORITY)])
+    counts = F.array(*[F.struct(F.col(f"votes_{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(r).alias("reason")) for i, r in enumerate(PRIORITY)])
+    why = F.when(F.col("exact"), EXACT).otherwise(F.array_max(counts)["reason"])
+    severity = F.when(F.col("exact"), ERROR).otherwise(WARNING)
+    return found.join(voted, by, "left").select(*by, F.coalesce("plain", "first").alias("canonical"), severity.alias("severity"), why.alias("reason"), F.col("n").alias("n_variants"))
 
 
 def groups(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, key, canonical, severity, reason, n_variants, variants) of every URL that occurs in several rows.
+    """facts() with variants, the rows of each group in page order.
 
-    Variants are in page order. The key's rows are reduced map-side to what the group
-    needs, its rows once; a group's rows are reported, so they come together here.
+    A report shows a group's rows in one entry, so here they come together; facts() and summary() need no such row.
     """
     rows = as_pages(pages, keys).withColumn("key", urls.key_of(F.col("url")))
     by = [*keys, "key"]
+    known = facts(pages, keys)
     variant = F.struct("pos", "url", "parent_url", "status_code", "content_type")
-    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(variant)).alias("v"), F.min_by("url", F.when(_plain(F.col("url")), F.col("pos"))).alias("plain")).where("n > 1")
-    v = F.col("v")
-    first = v[0]["url"]
-    exact = F.forall(v, lambda x: x["url"] == first)
-    given = F.transform(v, lambda x: reason(first, x["url"]))
-    found = found.withColumn("given", given).withColumn("exact", exact)
-    counts = F.array(*[F.struct(_times("given", r).alias("n"), F.lit(-i).alias("rank"), F.lit(r).alias("reason")) for i, r in enumerate(PRIORITY)])
-    # the exact duplicate's reason needs no vote
-    why = F.when(F.col("exact"), EXACT).otherwise(F.array_max(counts)["reason"])
-    return found.select(
-        *keys,
-        "key",
-        F.coalesce("plain", first).alias("canonical"),
-        F.when(F.col("exact"), ERROR).otherwise(WARNING).alias("severity"),
-        why.alias("reason"),
-        F.col("n").alias("n_variants"),
-        F.transform("v", lambda x: F.struct(x["url"].alias("url"), x["parent_url"].alias("parent_url"), x["status_code"].alias("status_code"), x["content_type"].alias("content_type"))).alias("variants"),
-    )
+    listed = rows.join(known.select(*by), by, "left_semi").groupBy(*by).agg(F.sort_array(F.collect_list(variant)).alias("v"))
+    shown = F.transform("v", lambda x: F.struct(x["url"].alias("url"), x["parent_url"].alias("parent_url"), x["status_code"].alias("status_code"), x["content_type"].alias("content_type")))
+    return known.join(listed, by).select(*by, "canonical", "severity", "reason", "n_variants", shown.alias("variants"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -128,11 +128,11 @@ def dup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_reason(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.groups(fx.dup(spark, d)).select(F.col("key").alias("dup_key"), "reason")
+    return duplicates.facts(fx.dup(spark, d)).select(F.col("key").alias("dup_key"), "reason")
 
 
 def dup_summary(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.summary(duplicates.groups(fx.dup(spark, d)))
+    return duplicates.summary(duplicates.facts(fx.dup(spark, d)))
 
 
 def _shown(findings: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def findings_ordered(spark: SparkSession, d: str) -> DataFrame:
 
 def dup_by_severity(spark: SparkSession, d: str) -> DataFrame:
     """Errors and warnings apart, either in order of the canonical URLs."""
-    groups = duplicates.groups(fx.dup(spark, d))
+    groups = duplicates.facts(fx.dup(spark, d))
     parts = [numbered(duplicates.of_severity(groups, s), "canonical").select("severity", "pos", "canonical") for s in (classify.ERROR, classify.WARNING)]
     return parts[0].unionByName(parts[1])
 
