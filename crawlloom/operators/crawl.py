@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlloom.functions import html, urls
 from crawlloom.functions.classify import is_html, resource_type
-from crawlloom.scratch import Growing, forget, numbered
+from crawlloom.scratch import Growing, forget, numbered, scratch_path
 from crawlloom.scratch import written as kept
 
 Fetcher = Callable[[DataFrame], DataFrame]
@@ -162,30 +162,26 @@ def crawl(
 
     Every URL is fetched once. What is excluded or visited is left out before fetching, and bodies end with their links.
     Of the pages that show a URL first, its parent is the bytewise least. pos is the order by URL. It goes on until no URL is
-    left; a level is one fetch. What is done and what is visited are folders that grow, so a plan is as long at the last level as at the first.
+    left; a level is one fetch. All levels are parts of one table, so a plan is as long at the last level as at the first.
     """
     check_base(base_url)
-    base = F.lit(base_url)
+    base, folder = F.lit(base_url), scratch_path(spark, "fetched")
     frontier = kept(seeds(spark, base_url, sitemap_urls, exclude), "frontier")
-    visited, done = Growing(frontier.select("url"), "visited"), None
-    total = 0
+    level = total = 0
     while True:
         answers = fetch(frontier)
         # the body is dropped in the same stage that parses it
-        got = kept(answers.select(*PAGE, resource_type(F.col("content_type")).alias("resource_type"), shown(answers, base).alias("links")), "fetched")
-        pages = got.drop("links")
-        if done is None:
-            done = Growing(pages, "done")
-        else:
-            done.add(pages)
+        got = answers.select(*PAGE, resource_type(F.col("content_type")).alias("resource_type"), shown(answers, base).alias("links"))
+        got.write.parquet(f"{folder}/level={level}")
+        got, done = (spark.read.schema(got.schema).parquet(path) for path in (f"{folder}/level={level}", folder))
         links = got.select(F.col("url").alias("parent_url"), F.explode("links").alias("link")).select(urls.canonicalize(F.col("link")).alias("url"), "parent_url")
         wanted = links.where(~urls.excluded(F.col("url"), exclude or [])).groupBy("url").agg(F.min("parent_url").alias("parent_url"))
-        before, frontier = frontier, kept(wanted.join(visited.rows(), "url", "left_anti"), "frontier")
+        before, frontier = frontier, kept(wanted.join(done.select("url"), "url", "left_anti"), "frontier")
         n = frontier.count()
         if progress is not None:
             total += got.count()
             progress(total, n)
-        forget(before, got)
+        forget(before)
         if not n:
-            return numbered(done.rows(), "url", "parent_url")
-        visited.add(frontier.select("url"))
+            return numbered(done.select(*PAGE, "resource_type"), "url", "parent_url")
+        level += 1
