@@ -41,7 +41,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     article = F.regexp_extract(urlfilter.host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:[./]|$)", 1)
     key = F.when(article != "", article.cast("long"))
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, label_key=key).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, label_key=key).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,14 +113,14 @@ def judged(tree: DataFrame, prior: float = PRIOR, block: float = BLOCK) -> DataF
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url: str = "url", label_key: Column | None = None) -> DataFrame:
-    """pages with host, path, rule and verdict (allow or block).
+    """pages with host, path, rule, verdict (allow or block), and the template and its purity, by which the method judges where no rule does.
 
     labels is (label_id, bad) with bad 0 or 1 (null: unlabelled; of several for one id the worst holds); label_key is
     the expression of pages that is its label_id, the page_id if not given. Urls that are null, empty or without :// have
     no host and no path, and like all others the verdict of their template. Repeated rows stay, columns of
     pages with the added names are replaced, an empty table gives an empty result.
     """
-    added = ["host", "path", "rule", "verdict"]
+    added = ["host", "path", "rule", "verdict", "template", "purity"]
     own = [c for c in pages.columns if c not in added]
     # the columns of pages travel as one, so that their names can't meet those used here
     parsed = pages.select(F.struct(*own).alias("row"), F.col(url).alias("url"), (F.col("page_id") if label_key is None else label_key).alias("label_id"))
@@ -129,6 +129,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str
     parsed = parsed.withColumn("segs", segments(F.col("path")))
     worst = labels.groupBy("label_id").agg(F.max("bad").cast("long").alias("bad"))
     urls = parsed.select("host", "segs", "label_id").join(worst, "label_id", "left").select("host", "segs", "bad")
-    blocked = judged(templates(urls)).where("blocked").select("host", "segs", F.lit("block").alias("method"))
-    out = parsed.join(blocked, ["host", "segs"], "left").withColumn("verdict", F.coalesce("action", "method", F.lit("allow")))
+    # written, so that the pages of a frequent template can be dealt to several tasks of the join
+    shapes = written(judged(templates(urls)).select("host", "segs", "template", "purity", "blocked"), "shapes")
+    out = parsed.join(shapes, ["host", "segs"], "left").withColumn("verdict", F.coalesce("action", F.when(F.col("blocked"), "block"), F.lit("allow")))
     return out.select(*[F.col("row")[c].alias(c) for c in own], *added)

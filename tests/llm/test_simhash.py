@@ -127,6 +127,7 @@ def test_frames(spark):
             for _ in range(rng.randint(0, 3)):
                 w[rng.randrange(len(w))] = rng.choice(words)
             rows.append((1000 - len(rows), " ".join(w), "x"))
+    rows += [(3000, "word other " * 60_000, "x"), (3001, "word other " * 59_999 + "end", "x")]
     rows += [(2000, None, "x"), (2001, "", "x"), (2002, "one", None), (5, texts[0], "x"), (5, texts[0], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
     got = simhash.near_duplicates(df).toPandas()

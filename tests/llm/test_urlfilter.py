@@ -54,6 +54,7 @@ def test_templates(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = urlfilter.filter_urls(pages, spark.createDataFrame(labels, "label_id long, bad int"), rules=()).toPandas()
     assert set(got[got.verdict == "block"].url) == {u for _, u in rows if "/casino/" in u}
+    assert set(got[got.verdict == "block"].template) == {"/casino/*/*"} and ((got.purity >= urlfilter.BLOCK) == (got.verdict == "block")).all()
     parsed = pages.withColumn("path", urlfilter.host_and_path(F.col("url"))[1]).withColumn("host", urlfilter.host_and_path(F.col("url"))[0]).withColumn("segs", urlfilter.segments(F.col("path"))).join(spark.createDataFrame(labels, "page_id long, bad int"), "page_id", "left")
     found = {(r["host"], r["template"]) for r in urlfilter.templates(parsed.select("host", "segs", "bad")).collect()}
     assert found == {("site.test", "/casino/*/*"), ("site.test", "/*/*/*"), ("good.test", "/*")}
