@@ -12,11 +12,10 @@ of any script has a vector of its own, made from its code point.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +27,9 @@ SEED = 7
 #: Characters that are worked on at once, so that memory doesn't follow the texts' lengths.
 CHUNK = 1 << 18
 #: Texts and n-grams that are bundled at once.
-ROWS, GRAMS = 256, 1 << 20
+ROWS, GRAMS = 256, 1 << 19
 #: N-grams whose vectors are made at once, and the size of a table of counts up to which it is made whole.
-SLICE, TABLE = 4096, 1 << 23
+SLICE, TABLE = 4096, 1 << 22
 UND = "und"
 
 
@@ -79,7 +78,7 @@ def _bundled(chunks: list[np.ndarray], rows: list[int], out: np.ndarray, total:
     code = np.zeros(len(first), np.int64)
     for k in range(N):
         code = code * n + s[first + k]
-    if n**N <= 1 << 22:
+    if n**N <= 1 << 21:
         there = np.zeros(n**N, bool)
         there[code] = True
         grams = np.flatnonzero(there)
@@ -90,7 +89,8 @@ def _bundled(chunks: list[np.ndarray], rows: list[int], out: np.ndarray, total:
         grams, column = np.unique(code, return_inverse=True)
     base = np.stack([letter_vector(int(x)) for x in alphabet])
     turned = [np.roll(base, N - 1 - k, axis=1) for k in range(N)]
-    whole = np.bincount(row * len(grams) + column, minlength=len(out) * len(grams)).reshape(len(out), -1) if len(out) * len(grams) <= TABLE else None
+    at, row = np.unique(row, return_inverse=True)
+    whole = np.bincount(row * len(grams) + column, minlength=len(at) * len(grams)).reshape(len(at), -1) if len(at) * len(grams) <= TABLE else None
     order = None if whole is not None else np.argsort(column, kind="stable")
     cuts = None if order is None else np.searchsorted(column[order], np.arange(0, len(grams) + SLICE, SLICE))
     for j, lo in enumerate(range(0, len(grams), SLICE)):
@@ -102,12 +102,12 @@ def _bundled(chunks: list[np.ndarray], rows: list[int], out: np.ndarray, total:
             counts = whole[:, lo : lo + SLICE]
         else:
             own = order[cuts[j] : cuts[j + 1]]
-            counts = np.bincount(row[own] * len(some) + column[own] - lo, minlength=len(out) * len(some)).reshape(len(out), -1)
-        out += counts.astype(np.float32) @ vectors.astype(np.float32)
-    total += np.bincount(row, minlength=len(total))
+            counts = np.bincount(row[own] * len(some) + column[own] - lo, minlength=len(at) * len(some)).reshape(len(at), -1)
+        out[at] += counts.astype(np.float32) @ vectors.astype(np.float32)
+    total[at] += np.bincount(row, minlength=len(at))
 
 
-def bundles(texts: list[str | None], rows: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+def bundles(texts: Iterable[str | None], rows: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of size rows the bundle of all n-grams of the texts that belong to it, and their number; whole numbers."""
     out, total = np.zeros((size, DIMENSIONS)), np.zeros(size, np.int64)
     held: list[np.ndarray] = []
@@ -133,26 +133,29 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     one number for each dimension of each language, however many rows there are.
     """
 
-    def sent(total: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    def sent(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, vector in total.items():
-            yield pd.DataFrame({"lang": name, "at": np.arange(DIMENSIONS, dtype=np.int32), "n": vector})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(vector)], ["lang", "at", "n"])
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            names, row = np.unique(pdf["lang"].to_numpy(str), return_inverse=True) if len(pdf) else ([], [])
-            sums, _ = bundles(list(pdf["text"]), list(row), len(names))
-            for name, vector in zip(names, sums, strict=True):
-                total[str(name)] = total.get(str(name), 0) + vector.astype(np.int64)
-            if len(total) > 64:
-                yield from sent(total)
-                total = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                b = whole.slice(lo, ROWS)
+                langs = b.column(1).to_pylist()
+                names = sorted(set(langs))
+                sums, _ = bundles((t.as_py() for t in b.column(0)), [names.index(x) for x in langs], len(names))
+                for name, vector in zip(names, sums, strict=True):
+                    total[name] = total.get(name, 0) + vector.astype(np.int64)
+                if len(total) > 64:
+                    yield from sent(total)
+                    total = {}
         yield from sent(total)
 
     rows = (
         df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-        .mapInPandas(gather, "lang string, at int, n long")
+        .mapInArrow(gather, "lang string, at int, n long")
         .groupBy("lang", "at")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -201,7 +204,8 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        # some texts at a time, so that memory holds no whole batch
+        for b in (whole.slice(lo, ROWS) for whole in it for lo in range(0, whole.num_rows, ROWS)):
             langs, scores = predict(b.column(at).to_pylist(), prototypes)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

@@ -174,7 +174,7 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id
     schema = T.StructType([joined.schema["rest"], joined.schema["text"], *[T.StructField(n, T.LongType()) for n in added]])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (whole.slice(lo, 512) for whole in it for lo in range(0, whole.num_rows, 512)):
             out: list[tuple] = []
             for t, s in zip(b.column(1), b.column(2), strict=True):
                 if (t := t.as_py()) is None:

@@ -109,8 +109,7 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text
         tokens = ChunkTokenizer(tokenizer)
         for b in batches:
             rows: list[tuple] = []
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            for i, ids in enumerate(tokens.ids(texts)):
+            for i, ids in enumerate(tokens.ids(t.as_py() or "" for t in b.column(2))):
                 whole = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[at : at + 4 * capacity]

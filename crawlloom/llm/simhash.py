@@ -70,7 +70,7 @@ def fingerprints(df: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            values = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values)], ["doc_id", "key", "simhash"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), content_key(doc_id, text).alias("key"), F.col(text).alias("text"))
