@@ -14,6 +14,7 @@ from crawlloom.schemas import as_pages
 
 #: Sections of a report, in order.
 STRUCTURE, DUPLICATES, SANITY = 0, 1, 2
+SECTIONS = {"structure": STRUCTURE, "duplicates": DUPLICATES, "sanity": SANITY}
 FEW_PAGES, MUCH_UNREACHABLE, DROP = 3, 0.5, 0.5
 
 
@@ -23,16 +24,18 @@ def _finding(kind: str, severity: int, detail: Column | str, url: Column, parent
     return F.struct(url.alias("url"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text.alias("detail"), (none if parents is None else parents).alias("parents"), F.lit(rank).alias("rank"))
 
 
-def _rows(df: DataFrame, findings: list[Column], section: int) -> DataFrame:
-    return df.select(F.explode(F.array_compact(F.array(*findings))).alias("f")).select(F.lit(section).alias("section"), "f.*")
+def _rows(df: DataFrame, **sections: list[Column]) -> DataFrame:
+    """The findings that hold, by the names of their sections."""
+    found = [f.withField("section", F.lit(SECTIONS[name])) for name, findings in sections.items() for f in findings]
+    f = df.select(F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return f.select("f.section", *[f"f.{c}" for c in ("url", "kind", "severity", "detail", "parents", "rank")])
 
 
-def structural(pages: DataFrame, base_url: str) -> DataFrame:
-    """What is wrong with single pages; one narrow pass, and one row for the snapshot as a whole."""
-    rows = as_pages(pages)
+def _single() -> list[Column]:
+    """What can be wrong with a single page."""
     u, own = F.col("url"), F.col("url") != ""
     why = urls.invalid_detail(u)
-    found = [
+    return [
         F.when(~own, _finding("empty_url", ERROR, "page has an empty URL", u)),
         F.when(own & why.isNotNull(), _finding("invalid_url", ERROR, why, u)),
         F.when(own & (F.col("status_code") == 0), _finding("missing_status", ERROR, "page has no status code recorded", u)),
@@ -40,13 +43,21 @@ def structural(pages: DataFrame, base_url: str) -> DataFrame:
         F.when(own & ~F.col("resource_type").isin(*RESOURCE_TYPES), _finding("invalid_resource_type", ERROR, F.concat(F.lit("unknown resource type "), quoted(F.col("resource_type"))), u)),
         F.when(own & urls.has_placeholder(u), _finding("template_placeholder", WARNING, "URL contains a template placeholder (e.g. /{item.link})", u, F.array("parent_url"))),
     ]
-    count = rows.agg(F.count("*").alias("n"))
+
+
+def _whole(base_url: str) -> list[Column]:
+    """What can be wrong with a snapshot of n pages as a whole."""
     nothing = F.lit("")
-    whole = [
+    return [
         F.when(F.col("n") == 0, _finding("empty_snapshot", ERROR, "snapshot contains no pages (corrupted or empty structure)", nothing)),
         F.when((F.col("n") > 0) & F.lit(base_url == ""), _finding("missing_base_url", ERROR, "snapshot is missing its base URL", nothing)),
     ]
-    return _rows(rows, found, STRUCTURE).unionByName(_rows(count, whole, STRUCTURE))
+
+
+def structural(pages: DataFrame, base_url: str) -> DataFrame:
+    """What is wrong with single pages; one narrow pass, and one row for the snapshot as a whole."""
+    rows = as_pages(pages)
+    return _rows(rows, structure=_single()).unionByName(_rows(rows.agg(F.count("*").alias("n")), structure=_whole(base_url)))
 
 
 def duplicate_findings(groups: DataFrame) -> DataFrame:
@@ -83,7 +94,7 @@ def _totals(base_url: Column) -> list[Column]:
 def sanity(pages: DataFrame, base_url: str, previous_count: int = 0) -> DataFrame:
     """Whether the crawl as a whole is plausible, from one aggregation to a single row."""
     totals = as_pages(pages).agg(*_totals(F.lit(base_url)))
-    return _rows(totals, _implausible(F.lit(base_url), F.lit(previous_count)), SANITY)
+    return _rows(totals, sanity=_implausible(F.lit(base_url), F.lit(previous_count)))
 
 
 def sanity_by_site(pages: DataFrame, sites: DataFrame) -> DataFrame:
@@ -104,8 +115,10 @@ def sanity_by_site(pages: DataFrame, sites: DataFrame) -> DataFrame:
 def validate(pages: DataFrame, base_url: str, previous_count: int = 0, strict: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """(section, url, kind, severity, detail, parents, rank) of all findings; strict makes errors of warnings."""
     groups = duplicates.groups(pages) if groups is None else groups
-    parts = [structural(pages, base_url), duplicate_findings(groups), sanity(pages, base_url, previous_count)]
-    found = reduce(DataFrame.unionByName, parts)
+    rows, base = as_pages(pages), F.lit(base_url)
+    # what concerns the snapshot as a whole comes from one aggregation
+    whole = _rows(rows.agg(*_totals(base)), structure=_whole(base_url), sanity=_implausible(base, F.lit(previous_count)))
+    found = reduce(DataFrame.unionByName, [_rows(rows, structure=_single()), duplicate_findings(groups), whole])
     return promote(found) if strict else found
 
 

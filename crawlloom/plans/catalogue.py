@@ -7,7 +7,7 @@ import gzip
 import json
 import os
 from collections.abc import Callable, Iterable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from crawlloom.functions import classify, urls
 from crawlloom.operators import crawl, diff, duplicates, links, validation
 from crawlloom.plans import fixtures as fx
-from crawlloom.plans import report
+from crawlloom.plans import report, run
 from crawlloom.scratch import numbered, scratch_path, written
 from crawlloom.sources import export, sitemaps, snapshots
 from crawlloom.streaming import diffs
@@ -376,12 +376,75 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
+def base_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Which of some base URLs a crawl takes; those of the pages are all taken."""
+
+    def taken(url: str) -> bool:
+        try:
+            crawl.check_base(url)
+        except ValueError:
+            return False
+        return True
+
+    given = ["http://a.test", "HTTPS://a.test/x?y", "ftp://a.test/", "a.test", "https:///x", "mailto:a@b.test", "", "http://"]
+    return spark.createDataFrame([(u, taken(u)) for u in given], "url string, taken boolean")
+
+
+def cli_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """A command line as its settings, repeated exclusions in order, and what is set where nothing is given."""
+    full = run.parser().parse_args(["-exclude", "/b", "-exclude", "/a", "-workers", "7", "-timeout", "1m30s", "-quiet", "https://a.test"])
+    bare = run.parser().parse_args(["https://a.test"])
+    rows = [(name, k, json.dumps(v)) for name, args in (("full", full), ("bare", bare)) for k, v in vars(args).items()]
+    return spark.createDataFrame(rows, "line string, setting string, value string")
+
+
+def report_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times as a report prints them."""
+    at = [datetime(2024, 2, 29, 23, 59, 58, 999999), datetime(2024, 1, 1, 1, tzinfo=timezone(timedelta(hours=2)))]
+    return spark.createDataFrame([(i, run.stamp(t)) for i, t in enumerate(at)], "n int, printed string")
+
+
+def snapshot_files(spark: SparkSession, d: str) -> DataFrame:
+    """The names beside a snapshot, who gets its lock, and what stays of a broken run."""
+    path = _file(spark, "site.json")
+    rows = [("lock", snapshots.lock_file(path).removeprefix(path)), ("temp", snapshots.temp_file(path).removeprefix(path)), ("exists before", snapshots.exists(path))]
+    with snapshots.lock(path):
+        with open(snapshots.lock_file(path)) as f:
+            rows.append(("pid in the lock", f.read() == f"{os.getpid()}\n"))
+        try:
+            with snapshots.lock(path):
+                rows.append(("second lock", "taken"))
+        except snapshots.LockHeldError:
+            rows.append(("second lock", "refused"))
+    rows.append(("lock after", snapshots.exists(snapshots.lock_file(path))))
+    rows.append(("nothing to clean", snapshots.cleanup_temp(path)))
+    with open(snapshots.temp_file(path), "w") as f:
+        f.write("{")
+    rows += [("cleaned", (snapshots.cleanup_temp(path) or "").removeprefix(path)), ("temp after", snapshots.exists(snapshots.temp_file(path)))]
+    with open(snapshots.temp_file(path), "w") as f:
+        f.write("{}")
+    snapshots.atomic_replace(snapshots.temp_file(path), path)
+    rows += [("exists after", snapshots.exists(path)), ("temp after replacement", snapshots.exists(snapshots.temp_file(path)))]
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "what string, value string")
+
+
+def crawl_progress(spark: SparkSession, d: str) -> DataFrame:
+    """What a crawl reports level by level: pages done and pages queued, on the first levels of a tree of pages."""
+    said: list[tuple[int, int]] = []
+    n = fx.pages(spark, d).count() % 20 + 3
+    at = lambda i: f"https://e.test/{i}"
+    body = lambda i: "".join(f"<a href='/{c}'>x</a>" for c in (2 * i, 2 * i + 1) if c <= n)
+    stored = spark.createDataFrame([(at(i), body(i)) for i in range(1, n + 1)], "url string, body string")
+    crawl.crawl(spark, at(1), crawl.replay(stored), progress=lambda done, queued: said.append((done, queued)))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(said)], "level int, done int, queued int")
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     extract_links, link_out_degree, url_split, url_canonicalize, url_dup_key, url_base_candidates, url_parent_path, robots_url, resource_type, is_html, status_text, exclude_paths,
     diff_added, diff_removed, diff_status, diff_content_type, diff_report, diff_stats, diff_by_site, diff_ordered, dedup_last_wins, dup_groups, dup_reason, dup_summary, dup_by_severity,
     validate_structural, validate_sanity, validate_all, validate_strict, validate_whole, sanity_by_site, severity_counts, findings_by_severity, findings_ordered, has_errors,
     crawl_reach, crawl_replay, crawl_seeded, sitemap_urls, sitemap_gzip, robots_sitemaps, snapshot_roundtrip, snapshot_document, snapshot_csv, changes_csv, report_csv,
-    report_text, report_json, findings_text, duplicates_text, stream_changes,
+    report_text, report_json, findings_text, duplicates_text, stream_changes, base_admission, cli_arguments, report_times, snapshot_files, crawl_progress,
 )
 
 

@@ -224,4 +224,12 @@ SQL: dict[str, str] = {
  UNION ALL SELECT site, base_url, 'excessive_unreachable', 0, bad || ' of ' || n || ' pages were unreachable (status 0 or >=400)' FROM judged WHERE n > 0 AND bad > 0.5 * n
  UNION ALL SELECT site, base_url, 'page_count_drop', 0, 'current crawl contains significantly fewer pages than the previous snapshot (previous: ' || p || ', current: ' || n || '); possible incomplete crawl' FROM judged WHERE p > 0 AND n < 0.5 * p""",
     "stream_changes": DIFF + "SELECT 0::BIGINT AS batch, 'Added' AS type, url, '' AS previous, '' AS current FROM prev UNION ALL SELECT 1, * FROM changes",
+    "base_admission": "SELECT * FROM (VALUES ('http://a.test', true), ('HTTPS://a.test/x?y', true), ('ftp://a.test/', false), ('a.test', false), ('https:///x', false), ('mailto:a@b.test', false), ('', false), ('http://', false)) t(url, taken)",
+    "cli_arguments": """SELECT * FROM (VALUES ('base_url', '"https://a.test"', '"https://a.test"'), ('exclude', '["/b", "/a"]', '[]'), ('workers', '7', '50'), ('timeout', '90.0', '30.0'), ('snapshot', '"snapshot.json"', '"snapshot.json"'), ('json', 'false', 'false'),
+ ('no_replace', 'false', 'false'), ('quiet', 'true', 'false'), ('strict', 'false', 'false'), ('csv', '""', '""'), ('version', 'false', 'false')) t(setting, "full", bare) UNPIVOT (value FOR line IN ("full", bare))""",
+    "report_times": "SELECT * FROM (VALUES (0, '2024-02-29T23:59:58Z'), (1, '2023-12-31T23:00:00Z')) t(n, printed)",
+    "snapshot_files": """SELECT * FROM (VALUES ('lock', '.lock'), ('temp', '.tmp'), ('exists before', 'False'), ('pid in the lock', 'True'), ('second lock', 'refused'), ('lock after', 'False'), ('nothing to clean', 'None'),
+ ('cleaned', '.tmp'), ('temp after', 'False'), ('exists after', 'True'), ('temp after replacement', 'False')) t(what, value)""",
+    "crawl_progress": """WITH n AS (SELECT count(*) % 20 + 3 AS n FROM pages), levels AS (SELECT unnest(range(0, 5)) AS level)
+ SELECT level::INTEGER AS level, least(n, 2 ** (level + 1) - 1)::INTEGER AS done, greatest(0, least(n, 2 ** (level + 2) - 1) - (2 ** (level + 1) - 1))::INTEGER AS queued FROM levels, n WHERE 2 ** level <= n""",
 }
