@@ -16,7 +16,8 @@ import os
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are numbered together.
 NUMBERED = 500
 #: Chunks of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 PUNCTUATION = ".,!?;:*%#&$|-"
 
 
@@ -86,7 +87,7 @@ class ChunkTokenizer:
             known[c] = asked[core] + asked[tail]
         return known
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             plain = text.isascii() or unicodedata.is_normalized("NFC", text)
             if not plain or any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
@@ -101,12 +102,18 @@ class ChunkTokenizer:
             yield b"".join(map(self.young.__getitem__, chunks))
 
 
+@lru_cache(1)
+def chunk_tokenizer(path: str | None) -> ChunkTokenizer:
+    """One for each worker process, so that a task begins with what the one before has learnt."""
+    return ChunkTokenizer(path)
+
+
 def pieces(df: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, key, piece, start, length, ids_crc32. A null text is empty: one piece, the end id."""
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ChunkTokenizer(tokenizer)
+        tokens = chunk_tokenizer(tokenizer)
         for b in batches:
             rows: list[tuple] = []
             for i, ids in enumerate(tokens.ids(t.as_py() or "" for t in b.column(2))):
