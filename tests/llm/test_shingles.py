@@ -88,3 +88,42 @@ def connected(rows):
             todo += near
         out.append(group)
     return out
+
+
+def test_blocks_change_no_result(spark, monkeypatch):
+    """Copies that differ in so many words that most pairs aren't similar, all in shared buckets."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 4)):
+            copy[at] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(copy[: rng.choice([120, 120, 100, 95])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(sorted(d for d, _ in g) for g in connected(rows))
+    for block, cells in ((4096, 1 << 20), (7, 3)):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        monkeypatch.setattr(shingles, "CELLS", cells)
+        groups: dict = {}
+        for r in shingles.near_groups(df, 5, Fraction(4, 5)).collect():
+            groups.setdefault(r["group"], set()).add(r["doc_id"])
+        assert sorted(map(sorted, groups.values())) == want
+
+
+def test_signatures_miss_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        keep = a[rng.random(len(a)) < rng.choice([0.8, 0.95, 1.0])]
+        b = np.unique(np.concatenate([keep, rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, max(1, n // 5))))]))
+        if not len(b):
+            continue
+        x, y = shingles.signature(a), shingles.signature(b)
+        flat = np.concatenate([x, y])
+        got = shingles._differ(flat, np.array([0, len(x)]), np.array([len(x), len(y)]), np.array([0]), np.array([1]))[0]
+        if len({len(x), len(y)}) == 1 or 2 * min(len(x), len(y)) == max(len(x), len(y)):
+            assert got <= len(np.setxor1d(a, b))
