@@ -32,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are numbered together.
 NUMBERED = 500
 #: Chunks of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 PUNCTUATION = ".,!?;:*%#&$|-"
 
 
@@ -126,6 +126,8 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text
                 [b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "key", "piece", "start", "length", "ids_crc32"],
             )
+        # the worker goes on to other work; the younger generation is enough to begin with
+        tokens.old = {}
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), content_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, key long, piece int, start long, length long, ids_crc32 long")
