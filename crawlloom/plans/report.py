@@ -32,7 +32,7 @@ def diff_lines(changes: DataFrame, stats: dict, base_url: str, previous_at: str
         yield f"{heading} ({stats[JSON_KEYS[kind]]}):"
         if not stats[JSON_KEYS[kind]]:
             yield "  (none)"
-        for r in diff.of_type(changes, kind).orderBy("url").toLocalIterator():
+        for r in diff.of_type(changes, kind).orderBy("url", "previous", "current").toLocalIterator():
             yield f"  {sign} {r['url']}" + (f"  {r['previous']} -> {r['current']}" if sign == "~" else "")
         yield ""
 

@@ -41,7 +41,7 @@ def export_changes(changes: DataFrame, folder: str) -> None:
     """Four files, one for each kind of change, by URL."""
     for name, kind in FILES.items():
         columns = ("url",) if kind in (diff.ADDED, diff.REMOVED) else ("url", "previous", "current")
-        one_csv(named(diff.of_type(changes, kind).orderBy("url"), *columns), f"{folder}/{name}")
+        one_csv(named(diff.of_type(changes, kind).orderBy("url", "previous", "current"), *columns), f"{folder}/{name}")
 
 
 def export_report(changes: DataFrame, path: str) -> None:
