@@ -50,5 +50,6 @@ def export_report(changes: DataFrame, path: str) -> None:
 
 
 def export_snapshot(pages: DataFrame, path: str) -> None:
-    rows = pages.orderBy("url", "parent_url").select("url", status_text(F.col("status_code")).alias("status_code"), "content_type")
+    """By URL and parent, repeated ones by their values, so that equal snapshots make equal files."""
+    rows = pages.orderBy("url", "parent_url", "status_code", "content_type").select("url", status_text(F.col("status_code")).alias("status_code"), "content_type")
     one_csv(named(rows, "url", "status_code", "content_type"), path)

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from crawlloom.plans import catalogue
+from crawlloom.sources import export
 
 P = "page_id long, url string, html string"
 
@@ -67,3 +68,10 @@ def test_repeated_urls_are_compared_row_by_row(spark, repeated, name):
 def test_repeated_urls_are_no_error_of_a_page(spark, repeated):
     rows = agree(spark, repeated, "has_errors")
     assert {r["snapshot"]: r["has_errors"] for r in rows} == {"curr": True, "prev": False}
+
+
+def test_files_of_repeated_urls_are_the_same_again(spark, tmp_path):
+    rows = spark.createDataFrame([("/a", "", s, t) for s in (404, 200) for t in ("b", "a")], "url string, parent_url string, status_code int, content_type string")
+    for n in (1, 2):
+        export.export_snapshot(rows.orderBy("status_code", ascending=n == 1).coalesce(1), str(tmp_path / f"{n}.csv"))
+    assert (tmp_path / "1.csv").read_text() == (tmp_path / "2.csv").read_text() == "URL,Status Code,Content Type\n/a,200,a\n/a,200,b\n/a,404,a\n/a,404,b\n"
