@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 
@@ -85,3 +86,45 @@ def test_recall_on_the_table(spark):
     want = brute(rows, 5, 50)
     hit = sum(len(set(got[got.query_id == q].vec_id) & {i for _, i in near}) for q, near in want.items())
     assert hit / sum(map(len, want.values())) >= 0.9
+
+
+def test_counts_are_added_as_bitmaps():
+    rng = np.random.default_rng(5)
+    rows = rng.random((45, 640)) < 0.3
+    words = [np.packbits(r, bitorder="little").view(np.uint64) for r in rows]
+    digits = neighbors.added([words[:20]])
+    digits = neighbors.added([[digits[0], *words[20:]], *([d] for d in digits[1:])])
+    counts = rows.sum(0)
+    for least in (0, 1, 9, 16, 17, 45, 64, 1000):
+        assert neighbors.at_least(digits, least).tolist() == np.flatnonzero(counts >= least).tolist()
+    assert neighbors.numbers(digits, np.arange(640)).tolist() == counts.tolist()
+
+
+def test_pairs_are_cheap():
+    """On unrelated vectors, where the method has it hardest, a pair takes nanoseconds (1,000 with windows of row numbers), and neighbours are found."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(65536, 64)).astype(np.float32)
+    queries = np.arange(0, 65536, 512)
+    unit = neighbors.unit(vectors)
+    cosines = unit[queries] @ unit.T
+    cosines[np.arange(len(queries)), queries] = -1
+    index = neighbors.CollisionIndex([np.array([i]) for i in range(len(vectors))], vectors, 5)
+    radius = np.sqrt(2 - 2 * np.partition(cosines[:, :8192], -5, axis=1)[:, -5])
+    start = time.process_time()
+    found: dict = {}
+    for q, i, _ in index.search(queries, vectors[queries], radius):
+        found.setdefault(q, set()).add(i)
+    assert time.process_time() - start < 100e-9 * len(vectors) * len(queries)
+    near = np.argpartition(-cosines, 5, axis=1)[:, :5]
+    assert sum(len(found.get(q, set()) & set(x.tolist())) for q, x in zip(queries.tolist(), near, strict=True)) >= 0.9 * near.size
+
+
+def test_vectors_are_not_repeated_for_queries(spark):
+    """Every id asks: the vectors still go to one task for each block, and not once for each few hundred queries."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 8)))]
+    got = neighbors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=1).toPandas()
+    want = brute([(i, np.float32(v).tolist()) for i, v in rows], 5, 1)
+    hit = sum(len(set(g) & {i for _, i in want[q]}) for q, g in got.groupby("query_id").vec_id)
+    assert len(got) == 10000 and hit >= 9000
+    assert 2000 * 8 < neighbors.QUERIES
