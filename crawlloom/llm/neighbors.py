@@ -16,7 +16,7 @@ gives nothing. Answers meet by query. Equal vectors are one entry with the k + 1
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -124,7 +124,7 @@ def demanded(places: np.ndarray, radius: float) -> int:
 class CollisionIndex:
     """What lies at the lines' ends, of one block of distinct vectors; ids has the ids of each."""
 
-    ids: list[np.ndarray]
+    ids: Sequence[np.ndarray]
     vectors: np.ndarray
     k: int
     lines: int = LINES
@@ -222,13 +222,26 @@ def entries(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("hash", "vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists' sizes, where each begins, and all their values."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return sizes, (np.cumsum(sizes) - sizes).astype(np.int64), column.flatten().to_numpy()
+
+
+def matrix(starts: np.ndarray, flat: np.ndarray, width: int) -> np.ndarray:
+    """The vectors of this length that begin there, taken a few thousand at a time, since their places take more room than they do."""
+    out = np.empty((len(starts), width), flat.dtype)
+    for lo in range(0, len(starts), 8192):
+        out[lo : lo + 8192] = flat[starts[lo : lo + 8192, None] + np.arange(width)]
+    return out
+
+
 def matrices(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, matrix) of the vectors of each length."""
-    sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
-    for width in np.unique(sizes):
+    sizes, starts, flat = lists(vectors)
+    for width in np.unique(sizes).tolist():
         own = np.flatnonzero(sizes == width)
-        yield own, flat[starts[own][:, None] + np.arange(width)]
+        yield own, matrix(starts[own], flat, width)
 
 
 def bounded(asked: DataFrame, sample: pa.Table, k: int) -> DataFrame:
@@ -297,22 +310,23 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     data = held.select("ids", "vector", F.lit(2.0).alias("radius"), F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(False).alias("asks"))
     queries = asked.select(F.array("vec_id").alias("ids"), "vector", "radius", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part"), F.lit(True).alias("asks"))
 
-    def answer(table: pa.Table) -> Iterator[tuple[int, int, float]]:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, radius = table.column("ids").to_pylist(), table.column("radius").to_numpy()
-        for own, vectors in matrices(table.column("vector").combine_chunks()):
-            there = ~asks[own]
-            if there.any() and not there.all():
-                index = CollisionIndex([np.array(ids[i]) for i in own[there]], vectors[there], k)
-                asking = np.flatnonzero(~there)
+    def answer(table: pa.Table) -> Iterator[list[tuple[int, int, float]]]:
+        asks, radius = table.column("asks").to_numpy(), table.column("radius").to_numpy()
+        sizes, starts, flat = lists(table.column("vector").combine_chunks())
+        many, first, ids = lists(table.column("ids").combine_chunks())
+        for width in np.unique(sizes).tolist():
+            there, asking = np.flatnonzero((sizes == width) & ~asks), np.flatnonzero((sizes == width) & asks)
+            if len(there) and len(asking):
+                # mostly one id each
+                known = ids[first[there], None] if many[there].max() == 1 else [ids[f : f + m] for f, m in zip(first[there], many[there], strict=True)]
+                index = CollisionIndex(known, matrix(starts[there], flat, width), k)
                 for lo in range(0, len(asking), 4096):
                     some = asking[lo : lo + 4096]
-                    yield from index.search(np.array([ids[i][0] for i in own[some]]), vectors[some], radius[own[some]].copy())
+                    yield list(index.search(ids[first[some]], matrix(starts[some], flat, width), radius[some]))
 
     def answers(table: pa.Table) -> pa.Table:
-        got = list(answer(table))
-        q, i, s = zip(*got, strict=True) if got else ([],) * 3
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+        schema = pa.schema({"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()})
+        return pa.concat_tables([schema.empty_table(), *(pa.table(dict(zip(schema.names, zip(*got, strict=True), strict=True)), schema) for got in answer(table) if got)])
 
     found = data.unionByName(queries).groupBy("block", "part").applyInArrow(answers, "query_id long, vec_id long, score double")
     sampled = asked.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.scores").alias("score"))
