@@ -38,7 +38,7 @@ SAFETY, CHANCE = 1.3, 0.0002
 FIRST = 64
 #: Numbers in a block, and in the queries that meet it at once; vectors in a block while there are fewer blocks than cores.
 BLOCK, QUERIES, SMALL_BLOCK = 1 << 24, 1 << 23, 1 << 15
-#: Numbers in the sample that gives queries their radius, at least and at most; between them it is a 64th of the vectors.
+#: Numbers in the sample that gives queries their radius, at least (but for an eighth of the vectors) and at most; between them it is a 64th of the vectors.
 SAMPLE, MOST_SAMPLE = 1 << 19, 1 << 22
 SEED = 17
 
@@ -299,8 +299,8 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     n, width = held.agg(F.count("*"), F.max(F.size("vector"))).first()
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    # at least k + 1 vectors
-    most = max(k + 1, SAMPLE // width, min(MOST_SAMPLE // width, n // 64))
+    # an eighth of a small table, so that what is found there is found by colliding
+    most = max(k + 1, min(n // 8, max(SAMPLE // width, min(MOST_SAMPLE // width, n // 64))))
     sample = held.where(F.pmod("hash", F.lit(max(1, -(-2 * n // (3 * most))))) == 0).select("vector", "ids").limit(most).toArrow()
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = written(bounded(asked, sample, k), "queries")
